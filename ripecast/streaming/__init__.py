@@ -1,0 +1 @@
+"""Intentionally empty: the workload is batch files in, tables out; it has no stream."""
