@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripecast.operators.features import FEATURES, TARGET
+from ripecast.sources.files import materialize
 
 # Hyperparameters of the forest.
 TREES = 100
@@ -44,15 +45,23 @@ def estimator(model_type: str = "random_forest", trees: int = TREES) -> Pipeline
         regressor = RandomForestRegressor(
             featuresCol="features", labelCol=TARGET, numTrees=trees, maxDepth=MAX_DEPTH,
             minInstancesPerNode=MIN_LEAF, featureSubsetStrategy="all", maxBins=MAX_BINS,
-            seed=SEED, maxMemoryInMB=1024,
+            seed=SEED,
         )
     return Pipeline(stages=[assemble, regressor])
 
 
 def fit(train: DataFrame, model_type: str = "random_forest", trees: int = TREES) -> PipelineModel:
-    """Trains on rows that have POOLED_FEATURES and the target."""
+    """Trains on rows that have POOLED_FEATURES and the target.
+
+    Training passes over the rows many times, so they are stored first: a lost executor then
+    re-reads its files instead of the sales. The explicit partition count keeps every core
+    busy, where AQE would merge a small table into one partition.
+    """
+    spark = train.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     rows = train.select(*(F.col(c).cast("double") for c in (*POOLED_FEATURES, TARGET)))
-    return estimator(model_type, trees).fit(rows)
+    spread = rows.repartition(parts, "product_id_encoded", "day_of_year", TARGET)
+    return estimator(model_type, trees).fit(materialize(spread, "training-rows"))
 
 
 def predict(model: PipelineModel | None, df: DataFrame) -> DataFrame:
