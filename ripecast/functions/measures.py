@@ -13,18 +13,20 @@ WEEKEND_FACTOR = 1.25
 
 MONEY = "decimal(18,2)"
 PROFIT = "decimal(18,4)"
+TOTAL_MONEY = "decimal(28,2)"
+TOTAL_PROFIT = "decimal(28,4)"
 
 
-def revenue(quantity: Column, unit_price: Column) -> Column:
-    return (quantity * unit_price).cast(MONEY)
+def revenue(quantity: Column, unit_price: Column, as_type: str = MONEY) -> Column:
+    return (quantity * unit_price).cast(as_type)
 
 
-def cost(quantity: Column, unit_cost: Column) -> Column:
-    return (quantity * unit_cost).cast(PROFIT)
+def cost(quantity: Column, unit_cost: Column, as_type: str = PROFIT) -> Column:
+    return (quantity * unit_cost).cast(as_type)
 
 
-def profit(revenue_: Column, cost_: Column) -> Column:
-    return (revenue_ - cost_).cast(PROFIT)
+def profit(revenue_: Column, cost_: Column, as_type: str = PROFIT) -> Column:
+    return (revenue_ - cost_).cast(as_type)
 
 
 def demand_factor(day: Column, product_factor: Column | None = None) -> Column:

@@ -71,7 +71,10 @@ def label_codes(df: DataFrame, columns: tuple[str, ...] = ENCODED) -> DataFrame:
 
 
 def encode(df: DataFrame, codes: DataFrame, columns: tuple[str, ...] = ENCODED) -> DataFrame:
-    """Adds `<column>_encoded`. Values without a code share one that follows the known ones."""
+    """Adds `<column>_encoded`. Values without a code share one that follows the known ones.
+
+    Best on one row per product, joined to its days afterwards.
+    """
     for column in columns:
         known = codes.filter(F.col("column_name") == column)
         table = known.select(F.col("value").alias(column), F.col("code").cast("double").alias(f"{column}_encoded"))
@@ -81,11 +84,6 @@ def encode(df: DataFrame, codes: DataFrame, columns: tuple[str, ...] = ENCODED)
     return df
 
 
-def encode_products(products: DataFrame, codes: DataFrame) -> DataFrame:
-    """Codes at one row per product, to be joined to days by product afterwards."""
-    return encode(products, codes)
-
-
 def feature_matrix(df: DataFrame, with_target: bool = True) -> DataFrame:
     """Only the model's columns, and the target where the table has it."""
     target = [TARGET] if with_target and TARGET in df.columns else []

@@ -29,8 +29,8 @@ def check_horizon(days_ahead: int) -> None:
 def future_days(products: DataFrame, days_ahead: int = DEFAULT_HORIZON) -> DataFrame:
     """One row per product and day after its last sale, as DATE. No join, no shuffle."""
     check_horizon(days_ahead)
-    first, last = F.date_add("last_date", 1), F.date_add("last_date", days_ahead)
-    return products.withColumn("date", F.explode(F.sequence(first, last, F.expr("interval 1 day"))))
+    ahead = products.withColumn("days_on", F.explode(F.sequence(F.lit(1), F.lit(days_ahead))))
+    return ahead.withColumn("date", F.date_add("last_date", F.col("days_on"))).drop("days_on")
 
 
 def future_frame(products: DataFrame, days_ahead: int = DEFAULT_HORIZON) -> DataFrame:

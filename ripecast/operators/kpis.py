@@ -19,12 +19,16 @@ def _guarded_margin(revenue: F.Column, margin: F.Column) -> F.Column:
     return F.when(revenue > 0, F.round(margin, 6)).otherwise(F.lit(0.0))
 
 
-def totals(sales: DataFrame) -> DataFrame:
-    """Total revenue and profit, mean revenue per sale, number of products."""
+def totals(sales: DataFrame, weight: str | None = None) -> DataFrame:
+    """Total revenue and profit, mean revenue per sale, number of products.
+
+    `weight` names the number of sales a row stands for, if rows are sums already.
+    """
+    n_sales = F.count("revenue") if weight is None else F.sum(F.when(F.col("revenue").isNotNull(), F.col(weight)))
     return sales.agg(
         sum_or_zero(F.col("revenue")).cast("double").alias("total_revenue"),
         sum_or_zero(F.col("profit")).cast("double").alias("total_profit"),
-        ratio(F.sum("revenue"), F.count("revenue")).alias("avg_order_value"),
+        ratio(F.sum("revenue"), n_sales).alias("avg_order_value"),
         F.count_distinct("product_id").alias("total_products"),
     )
 
@@ -37,9 +41,10 @@ def avg_daily_sales(sales: DataFrame) -> DataFrame:
     return daily.agg(ratio(F.sum("quantity"), F.count("quantity")).alias("avg_daily_sales"))
 
 
-def top_category(sales: DataFrame) -> DataFrame:
-    """The category with most rows; the alphabetically first among equals."""
-    counts = sales.filter(F.col("category").isNotNull()).groupBy("category").count()
+def top_category(sales: DataFrame, weight: str | None = None) -> DataFrame:
+    """The category with most sales; the alphabetically first among equals."""
+    n_sales = F.count("*") if weight is None else F.sum(weight)
+    counts = sales.filter(F.col("category").isNotNull()).groupBy("category").agg(n_sales.alias("count"))
     best = F.min_by("category", F.struct(-F.col("count"), F.col("category")))
     return counts.agg(F.coalesce(best, F.lit(labels.NOT_AVAILABLE)).alias("top_category"))
 

@@ -29,24 +29,26 @@ def stock_projection(days: DataFrame, reorder_level: int = policy.DEFAULT_REORDE
     )
 
 
-def reorder_status(days: DataFrame, reorder_level: int = policy.DEFAULT_REORDER_LEVEL,
-                   key: str = "product_id") -> DataFrame:
-    """Reorder date and quantity of every product; both NULL if the stock lasts.
+def _due_days(days: DataFrame, reorder_level: int, key: str) -> DataFrame:
+    """One row per product with the day its stock is `due`, NULL if it lasts.
 
     Forecasts are never negative, so stock only falls: the first day at or below the level is
     the earliest such day.
     """
     adjusted = policy.adjusted_reorder_level(F.lit(reorder_level), F.col("shelf_life_days"))
     due = F.min(F.when(F.col("projected_inventory") <= F.col("reorder_level"), F.col("date")))
-    per_product = (
+    return (
         running_stock(days, key)
         .withColumn("reorder_level", adjusted)
         .groupBy(key, *(c for c in ("product_id",) if c != key),
                  "product_name", "current_stock", "reorder_level", "shelf_life_days")
         .agg(due.alias("due"))
     )
+
+
+def _as_plan(due_days: DataFrame) -> DataFrame:
     quantity = policy.order_quantity(F.col("reorder_level"), F.col("shelf_life_days"))
-    return per_product.select(
+    return due_days.select(
         "product_id", "product_name",
         calendar.iso(F.col("due")).alias("suggested_reorder_date"),
         F.when(F.col("due").isNotNull(), quantity).alias("suggested_quantity"),
@@ -54,7 +56,13 @@ def reorder_status(days: DataFrame, reorder_level: int = policy.DEFAULT_REORDER_
     )
 
 
+def reorder_status(days: DataFrame, reorder_level: int = policy.DEFAULT_REORDER_LEVEL,
+                   key: str = "product_id") -> DataFrame:
+    """Reorder date and quantity of every product; both NULL if the stock lasts."""
+    return _as_plan(_due_days(days, reorder_level, key))
+
+
 def reorder_plan(days: DataFrame, reorder_level: int = policy.DEFAULT_REORDER_LEVEL,
                  key: str = "product_id") -> DataFrame:
     """Products whose stock reaches the level within the forecast, with date and quantity to order."""
-    return reorder_status(days, reorder_level, key).filter(F.col("suggested_reorder_date").isNotNull())
+    return _as_plan(_due_days(days, reorder_level, key).filter(F.col("due").isNotNull()))

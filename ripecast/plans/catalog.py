@@ -111,7 +111,7 @@ def project_price_quantity(t: StarTables) -> DataFrame:
 
 @report
 def kpi_totals(t: StarTables) -> DataFrame:
-    return kpis.totals(t.sales())
+    return kpis.totals(t.totals(), weight="n_sales")
 
 
 @report
@@ -121,7 +121,7 @@ def kpi_avg_daily_sales(t: StarTables) -> DataFrame:
 
 @report
 def kpi_top_category(t: StarTables) -> DataFrame:
-    return kpis.top_category(t.sales())
+    return kpis.top_category(t.totals(), weight="n_sales")
 
 
 @report
@@ -131,7 +131,7 @@ def kpi_avg_margin(t: StarTables) -> DataFrame:
 
 @report
 def kpi_peak_season(t: StarTables) -> DataFrame:
-    return kpis.peak_season(t.sales())
+    return kpis.peak_season(t.totals("season"))
 
 
 @report
@@ -151,12 +151,12 @@ def daily_revenue(t: StarTables) -> DataFrame:
 
 @report
 def category_revenue_share(t: StarTables) -> DataFrame:
-    return kpis.category_revenue_share(t.sales())
+    return kpis.category_revenue_share(t.totals())
 
 
 @report
 def top_products(t: StarTables) -> DataFrame:
-    return kpis.top_products(t.sales())
+    return kpis.top_products(t.totals())
 
 
 @report
@@ -170,18 +170,18 @@ def data_profile(t: StarTables) -> DataFrame:
 
 @report
 def category_metrics(t: StarTables) -> DataFrame:
-    return explore.category_metrics(t.sales())
+    return explore.category_metrics(t.totals())
 
 
 @report
 def category_metrics_in_range(t: StarTables) -> DataFrame:
     start, end = RANGE
-    return explore.category_metrics(t.sales(start=start, end=end), start, end)
+    return explore.category_metrics(t.totals(start=start, end=end))
 
 
 @report
 def season_metrics(t: StarTables) -> DataFrame:
-    return explore.season_metrics(t.sales())
+    return explore.season_metrics(t.totals("season"))
 
 
 @report
@@ -196,12 +196,12 @@ def product_kpi_labels(t: StarTables) -> DataFrame:
 
 @report
 def product_list(t: StarTables) -> DataFrame:
-    return explore.product_list(t.sales())
+    return explore.product_list(t.totals())
 
 
 @report
 def product_lookup(t: StarTables) -> DataFrame:
-    return explore.product_lookup(t.sales())
+    return explore.product_lookup(t.totals())
 
 
 @report
@@ -272,13 +272,12 @@ def date_features(t: StarTables) -> DataFrame:
 
 @report
 def label_encode(t: StarTables) -> DataFrame:
-    sold = t.products().join(t.facts().select(KEY), KEY, "left_semi")
-    return features.label_codes(sold)
+    return features.label_codes(t.totals())
 
 
 @report
 def feature_matrix(t: StarTables) -> DataFrame:
-    coded = features.encode_products(t.products(), features.label_codes(t.products()))
+    coded = features.encode(t.products(), features.label_codes(t.products()))
     rows = features.with_calendar(_daily(t).join(coded, KEY)).withColumn("unit_price", F.col("mean_price"))
     return features.feature_matrix(rows)
 

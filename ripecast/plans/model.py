@@ -37,6 +37,7 @@ class DemandModel:
         self._codes: DataFrame | None = None
         self._pipeline: PipelineModel | None = None
         self._test: DataFrame | None = None
+        self._profile: DataFrame | None = None
 
     # -- training --------------------------------------------------------------------------
 
@@ -44,25 +45,25 @@ class DemandModel:
         marked = demand.split(demand.product_daily(sales))
         profile = products.profile(sales)
         used = F.lit(True) if self.fit_on == "all" else F.col("is_test") == 0
+        # What was fitted is stored, so that forecast, stock plan and prices share one fit.
         if self.model_type == "trend":
-            # Stored, so that forecast, stock plan and prices share one fit.
             self._per_product = materialize(trend.fit(marked, train_flag=used), "trend")
         elif self.model_type == "linear_regression":
             self._per_product = materialize(linear.fit(marked, profile, train_flag=used), "linear")
         else:
+            # Several steps below read these two, which are far smaller than the sales.
+            marked, profile = materialize(marked, "product-days"), materialize(profile, "products")
             self._train_pooled(marked.filter(used), profile)
-        self._test = marked.filter(F.col("is_test") == 1).join(
-            profile.select("product_id", "product_name", "category", "shelf_life_days"), "product_id"
-        )
+        self._test = marked.filter(F.col("is_test") == 1)
+        self._profile = profile
         return self
 
     def _train_pooled(self, rows: DataFrame, profile: DataFrame) -> None:
         self._codes = features.label_codes(profile)
-        levels = pooled.product_level(rows, "product_id")
-        coded = features.encode_products(profile, self._codes).join(levels, "product_id").select(
+        self._per_product = materialize(pooled.product_level(rows, "product_id"), "product-level")
+        coded = self._attach(profile).select(
             "product_id", "shelf_life_days", pooled.LEVEL, *(f"{c}_encoded" for c in features.ENCODED)
         )
-        self._per_product = materialize(levels, "product-level")
         table = features.with_calendar(rows.join(coded, "product_id"))
         self._pipeline = pooled.fit(table, POOLED[self.model_type], self.trees)
 
@@ -71,7 +72,8 @@ class DemandModel:
         self._require_trained()
         if self._test is None:
             raise ValueError("Metrics need the training session; a loaded model has no held-out days.")
-        pairs = self.predict(self._test).select(
+        known = self._attach(self._profile.drop("first_date", "last_date"))
+        pairs = self._score(self._test.join(known, "product_id")).select(
             "product_id", F.col("quantity_sold").alias("actual"), F.col("prediction").alias("predicted")
         )
         return evaluate.metrics(pairs, *by)
@@ -82,6 +84,28 @@ class DemandModel:
         if self._per_product is None:
             raise ValueError("Model has not been trained yet. Call train() first.")
 
+    def _attach(self, df: DataFrame) -> DataFrame:
+        """Adds what the model knows about a product; cheapest on one row per product."""
+        known = self._per_product
+        if self.model_type == "trend":
+            return df.drop("first_date").join(known.select("product_id", "intercept", "slope", "first_date"),
+                                              "product_id", "left")
+        if self.model_type == "linear_regression":
+            return df.join(known, "product_id", "left")
+        average = known.agg(F.avg(pooled.LEVEL)).scalar()
+        return features.encode(df, self._codes).join(known, "product_id", "left").withColumn(
+            pooled.LEVEL, F.coalesce(F.col(pooled.LEVEL), average)
+        )
+
+    def _score(self, df: DataFrame) -> DataFrame:
+        """Adds `prediction` to dated rows that went through `_attach`."""
+        if self.model_type == "trend":
+            return df.withColumn("prediction", trend.prediction(F.col("date")))
+        rows = features.with_calendar(df)
+        if self.model_type == "linear_regression":
+            return rows.withColumn("prediction", linear.prediction())
+        return pooled.predict(self._pipeline, rows)
+
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds `prediction` to rows with date, product attributes and unit price.
 
@@ -89,25 +113,25 @@ class DemandModel:
         own label code with an average level from a pooled one.
         """
         self._require_trained()
-        known = self._per_product
-        if self.model_type == "trend":
-            lines = known.select("product_id", "intercept", "slope", "first_date")
-            with_lines = df.drop("first_date").join(lines, "product_id", "left")
-            return with_lines.withColumn("prediction", trend.prediction(F.col("date"))).drop(*lines.columns[1:])
-        rows = features.with_calendar(df)
-        if self.model_type == "linear_regression":
-            with_models = rows.join(known, "product_id", "left")
-            return with_models.withColumn("prediction", linear.prediction()).drop("coefficients", "intercept")
-        level = F.coalesce(F.col(pooled.LEVEL), known.agg(F.avg(pooled.LEVEL)).scalar())
-        rows = features.encode(rows, self._codes).join(known, "product_id", "left").withColumn(pooled.LEVEL, level)
-        return pooled.predict(self._pipeline, rows)
+        return self._score(self._attach(df)).select(*df.columns, "prediction")
 
-    def _future(self, sales: DataFrame, product_id: str | None, days_ahead: int) -> DataFrame:
+    def _future(
+        self, sales: DataFrame, product_id: str | None, days_ahead: int,
+        stock: DataFrame | None = None, base_price: float | None = None,
+    ) -> DataFrame:
+        """Forecast days with the product's attributes. All joins come before the days multiply."""
         self._require_trained()
+        forecast.check_horizon(days_ahead)
         if product_id is not None:
             sales = explore.by_product_id(sales, product_id)
-        profile = products.profile(sales).withColumn("unit_price", F.col("mean_price"))
-        days = self.predict(forecast.future_days(profile, days_ahead))
+        known = self._attach(products.profile(sales)).withColumn("unit_price", F.col("mean_price"))
+        if stock is not None:
+            known = products.with_stock(known, products.latest_stock(stock))
+        else:
+            known = known.withColumn("current_stock", F.lit(policy.DEFAULT_STOCK).cast("bigint"))
+        if base_price is not None:
+            known = known.withColumn("base_price", F.lit(float(base_price)))
+        days = self._score(forecast.future_days(known, days_ahead))
         return forecast.with_intervals(days.filter(F.col("prediction").isNotNull()), F.col("prediction"))
 
     def forecast_demand(
@@ -116,34 +140,28 @@ class DemandModel:
         """Forecast with intervals for the days after each product's last sale."""
         return forecast.contract(self._future(sales, product_id, days_ahead))
 
-    def _stocked_future(self, sales: DataFrame, inventory: DataFrame | None, product_id: str | None) -> DataFrame:
-        days = self._future(sales, product_id, forecast.DEFAULT_HORIZON)
-        if inventory is not None:
-            return products.with_stock(days, products.latest_stock(inventory))
-        return days.withColumn("current_stock", F.lit(policy.DEFAULT_STOCK).cast("bigint"))
-
     def stock_projection(
         self, sales: DataFrame, inventory: DataFrame | None = None, product_id: str | None = None,
         reorder_level: int = policy.DEFAULT_REORDER_LEVEL,
     ) -> DataFrame:
-        return replenish.stock_projection(self._stocked_future(sales, inventory, product_id), reorder_level)
+        """Stock left after each forecast day; the default stock where `inventory` has no row."""
+        days = self._future(sales, product_id, forecast.DEFAULT_HORIZON, inventory)
+        return replenish.stock_projection(days, reorder_level)
 
     def forecast_inventory_replenishment(
         self, sales: DataFrame, inventory: DataFrame | None = None, product_id: str | None = None,
         reorder_level: int = policy.DEFAULT_REORDER_LEVEL,
     ) -> DataFrame:
         """When and how much to reorder; no row for a product whose stock lasts."""
-        return replenish.reorder_plan(self._stocked_future(sales, inventory, product_id), reorder_level)
+        days = self._future(sales, product_id, forecast.DEFAULT_HORIZON, inventory)
+        return replenish.reorder_plan(days, reorder_level)
 
     def optimize_pricing(
         self, sales: DataFrame, product_id: str | None = None, base_price: float | None = None,
         days_ahead: int = pricing.DEFAULT_DAYS,
     ) -> DataFrame:
         """Price suggestions from `base_price`, or from each product's first price."""
-        days = self._future(sales, product_id, days_ahead)
-        if base_price is not None:
-            days = days.withColumn("base_price", F.lit(float(base_price)))
-        return pricing.suggest(days)
+        return pricing.suggest(self._future(sales, product_id, days_ahead, base_price=base_price))
 
     # -- persistence -----------------------------------------------------------------------
 

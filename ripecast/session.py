@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Without the Python call site of every column expression, building a plan takes a fraction of the time.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -137,11 +137,15 @@ def with_stock_default(df: DataFrame) -> DataFrame:
     )
 
 
-def with_sale_measures(df: DataFrame) -> DataFrame:
-    """Revenue, cost and profit from quantity, unit price and unit cost."""
+def with_sale_measures(df: DataFrame, summed: bool = False) -> DataFrame:
+    """Revenue, cost and profit from quantity, unit price and unit cost.
+
+    `summed` rows stand for many sales each and get wider types.
+    """
     require_columns(df, ("quantity_sold", "unit_price", "unit_cost"), "sales")
+    money, fine = (measures.TOTAL_MONEY, measures.TOTAL_PROFIT) if summed else (measures.MONEY, measures.PROFIT)
     df = df.withColumns({
-        "revenue": measures.revenue(F.col("quantity_sold"), F.col("unit_price")),
-        "cost": measures.cost(F.col("quantity_sold"), F.col("unit_cost")),
+        "revenue": measures.revenue(F.col("quantity_sold"), F.col("unit_price"), money),
+        "cost": measures.cost(F.col("quantity_sold"), F.col("unit_cost"), fine),
     })
-    return df.withColumn("profit", measures.profit(F.col("revenue"), F.col("cost")))
+    return df.withColumn("profit", measures.profit(F.col("revenue"), F.col("cost"), fine))
