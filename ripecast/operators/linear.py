@@ -23,24 +23,33 @@ from ripecast.operators.features import PRODUCT_FEATURES, TARGET, with_calendar
 # Ship the solver with the job, so that executors need numpy and pyarrow but not this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-RELATIVE_CUTOFF = 1e-10  # eigenvalues of the centred moment matrix below this share of the largest count as 0
+RELATIVE_CUTOFF = 1e-10  # singular values below this share of a product's largest are rounding noise
 
 
 def _min_norm(rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients and intercepts for consecutive groups of rows; the last column is the target."""
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    means = np.add.reduceat(rows, starts, axis=0) / sizes[:, None]
-    centred = rows - np.repeat(means, sizes, axis=0)
-    width = rows.shape[1]
-    moments = np.empty((len(sizes), width, width))
-    for j in range(width):
-        moments[:, j, :] = np.add.reduceat(centred * centred[:, j:j + 1], starts, axis=0)
-    gram, cross = moments[:, :-1, :-1], moments[:, :-1, -1]
-    values, vectors = np.linalg.eigh(gram)
-    kept = values > RELATIVE_CUTOFF * np.maximum(values[:, -1:], 1e-300)
-    inverse = np.where(kept, 1.0 / np.where(kept, values, 1.0), 0.0)
-    projected = np.einsum("gji,gj->gi", vectors, cross) * inverse
-    coefficients = np.einsum("gij,gj->gi", vectors, projected)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    # Measured from a group's first row, a constant column is exactly zero and stays so.
+    base = rows[starts]
+    offsets = rows - np.repeat(base, sizes, axis=0)
+    means = np.add.reduceat(offsets, starts, axis=0) / sizes[:, None]
+    centred = offsets - np.repeat(means, sizes, axis=0)
+    means += base
+    coefficients = np.empty((len(sizes), rows.shape[1] - 1))
+    # Groups of similar size are decomposed together; rows of zeros fill them up and change nothing.
+    size_class = np.ceil(np.log2(sizes)).astype(int)
+    for c in np.unique(size_class):
+        members = np.flatnonzero(size_class == c)
+        height = sizes[members].max()
+        place = starts[members, None] + np.arange(height)
+        filled = np.arange(height) < sizes[members, None]
+        block = np.where(filled[:, :, None], centred[np.where(filled, place, 0)], 0.0)
+        u, values, vt = np.linalg.svd(block[:, :, :-1], full_matrices=False)
+        kept = values > RELATIVE_CUTOFF * np.maximum(values[:, :1], 1e-300)
+        inverse = np.where(kept, 1.0 / np.where(kept, values, 1.0), 0.0)
+        projected = np.einsum("gri,gr->gi", u, block[:, :, -1]) * inverse
+        coefficients[members] = np.einsum("gij,gi->gj", vt, projected)
     intercepts = means[:, -1] - np.einsum("gi,gi->g", coefficients, means[:, :-1])
     return coefficients, intercepts
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+LOW_BITS = 20
+
 
 def fit(daily: DataFrame, key: str = "product_id", train_flag: Column | None = None) -> DataFrame:
     """Intercept and slope against days since the product's first sale.
@@ -29,21 +31,24 @@ def fit(daily: DataFrame, key: str = "product_id", train_flag: Column | None = N
         total(t).alias("st"),
         total(t * t).alias("stt"),
         total(y).alias("sy"),
-        total(t * y).alias("sty"),
+        # Day x quantity of a best-seller can add up past 2**63, so high and low bits go separately.
+        total(t * F.shiftright(y, LOW_BITS)).alias("sty_high"),
+        total(t * y.bitwiseAND(F.lit((1 << LOW_BITS) - 1))).alias("sty_low"),
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
     ).withColumn("t0", F.unix_date("first_date").cast("bigint"))
 
-    shifted = sums.withColumns({
-        "sx": F.expr("st - n * t0"),
-        "sxx": F.expr("stt - 2 * t0 * st + n * t0 * t0"),
-        "sxy": F.expr("sty - t0 * sy"),
-    })
-    # A best-seller's products of sums can pass 2**63; decimals keep them exact.
-    wide = {c: F.col(c).cast("decimal(19,0)") for c in ("sx", "sy", "sxx", "sxy")}
-    n = F.col("n").cast("decimal(10,0)")
-    above = (n * wide["sxy"] - wide["sx"] * wide["sy"]).cast("double")
-    below = (n * wide["sxx"] - wide["sx"] * wide["sx"]).cast("double")
+    # One row per product from here on; decimals keep every product of sums exact.
+    n, t0, st, stt, sy, high, low = (
+        F.col(c).cast("decimal(19,0)") for c in ("n", "t0", "st", "stt", "sy", "sty_high", "sty_low")
+    )
+    sx = (st - n * t0).cast("decimal(19,0)")
+    sxx = (stt - 2 * t0 * st + n * t0 * t0).cast("decimal(19,0)")
+    sxy = (high * F.lit(1 << LOW_BITS).cast("decimal(8,0)") + low - t0 * sy).cast("decimal(27,0)")
+    shifted = sums.withColumns({"sx": sx, "sxx": sxx, "sxy": sxy})
+    count = F.col("n").cast("decimal(10,0)")
+    above = (count * F.col("sxy") - F.col("sx") * sy).cast("double")
+    below = (count * F.col("sxx") - F.col("sx") * F.col("sx")).cast("double")
     slope = F.when(below == 0, F.lit(0.0)).otherwise(F.try_divide(above, below))
     with_slope = shifted.withColumn("slope", slope)
     intercept = F.try_divide(

@@ -70,18 +70,17 @@ def parse_day(df: DataFrame, column: str = "date", strict: bool = True) -> DataF
     return df.withColumn(column, F.col(column).cast("date"))
 
 
-def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
-
-
-def _with_row_order(df: DataFrame, tie_column: str | None) -> DataFrame:
+def _conform(df: DataFrame, schema: T.StructType, tie_column: str | None) -> DataFrame:
+    """Contract columns in contract types; `row_order` from the table, the tie column or the contents."""
+    typed = {f.name: F.col(f.name).cast(f.dataType) for f in schema if f.name != "row_order"}
     if "row_order" in df.columns:
-        return df
-    day = F.col("date")
-    if tie_column is not None:
-        return df.withColumn("row_order", numeric.row_order(day, F.col(tie_column)))
-    contents = [F.col(c) for c in sorted(df.columns)]
-    return df.withColumn("row_order", numeric.row_order(day, numeric.content_tie(*contents)))
+        order = F.col("row_order").cast("bigint")
+    elif tie_column is not None:
+        order = numeric.row_order(F.col("date"), F.col(tie_column))
+    else:
+        # Typed contents, so that the same row orders alike whatever file format it came from.
+        order = numeric.row_order(F.col("date"), numeric.content_tie(*typed.values()))
+    return df.select(*(c.alias(name) for name, c in typed.items()), order.alias("row_order"))
 
 
 def _with_default(df: DataFrame, column: str, default: object) -> DataFrame:
@@ -97,10 +96,10 @@ def canonical_inventory(df: DataFrame, tie_column: str | None = None, strict_dat
     """
     df = df.withColumnsRenamed(INVENTORY_ALIASES)
     require_columns(df, REQUIRED_INVENTORY, "inventory")
-    df = _with_row_order(parse_day(df, strict=strict_dates), tie_column)
+    df = parse_day(df, strict=strict_dates)
     df = _with_default(df, "reorder_level", DEFAULT_REORDER_LEVEL)
     df = _with_default(df, "shelf_life_days", DEFAULT_SHELF_LIFE)
-    return _conform(df, INVENTORY_SCHEMA)
+    return _conform(df, INVENTORY_SCHEMA, tie_column)
 
 
 def canonical_sales(
@@ -115,7 +114,7 @@ def canonical_sales(
     """
     df = df.withColumnsRenamed(SALES_ALIASES)
     require_columns(df, REQUIRED_SALES, "sales")
-    df = _with_row_order(parse_day(df, strict=strict_dates), tie_column)
+    df = parse_day(df, strict=strict_dates)
     day = F.col("date")
     if "season" not in df.columns:
         df = df.withColumn("season", calendar.climate_season(day))
@@ -127,7 +126,7 @@ def canonical_sales(
         )
         df = df.join(shelf, "product_id", "left")
     df = _with_default(df, "shelf_life_days", DEFAULT_SHELF_LIFE)
-    return _conform(df, SALES_SCHEMA)
+    return _conform(df, SALES_SCHEMA, tie_column)
 
 
 def with_stock_default(df: DataFrame) -> DataFrame:
