@@ -47,7 +47,7 @@ def _presentable(sales: DataFrame) -> DataFrame:
 
 @report
 def scan_sales(t: StarTables) -> DataFrame:
-    return t.facts().select(product_id(F.col(KEY)).alias("product_id"), "date", "quantity_sold")
+    return _with_id(t.facts()).select("product_id", "date", "quantity_sold")
 
 
 @report
@@ -163,7 +163,7 @@ def top_products(t: StarTables) -> DataFrame:
 def data_profile(t: StarTables) -> DataFrame:
     return (
         explore.profile(t.sales(), "sales")
-        .unionByName(explore.profile(t.inventory(), "inventory"))
+        .unionByName(explore.profile(_with_id(t.facts()), "inventory"))
         .unionByName(explore.profile(t.customers(), "customer"))
     )
 
@@ -244,17 +244,16 @@ def season_adjusted_demand(t: StarTables) -> DataFrame:
 
 # -- model input ---------------------------------------------------------------------------
 
+def _with_id(df: DataFrame) -> DataFrame:
+    return df.withColumn("product_id", product_id(F.col(KEY)))
+
+
 def _daily(t: StarTables) -> DataFrame:
     return demand.product_daily(t.facts(), KEY)
 
 
 def _daily_by_id(t: StarTables) -> DataFrame:
-    return _daily(t).withColumn("product_id", product_id(F.col(KEY))).drop(KEY)
-
-
-def _split(t: StarTables) -> DataFrame:
-    daily = _daily(t).withColumn("product_id", product_id(F.col(KEY)))
-    return demand.split(daily, KEY, "product_id").drop(KEY)
+    return _with_id(_daily(t)).drop(KEY)
 
 
 @report
@@ -284,7 +283,7 @@ def feature_matrix(t: StarTables) -> DataFrame:
 
 @report
 def train_test_split(t: StarTables) -> DataFrame:
-    return _split(t)
+    return demand.split(_with_id(_daily(t)), KEY, "product_id").drop(KEY)
 
 
 @report
@@ -299,7 +298,7 @@ def _stocked(t: StarTables) -> DataFrame:
 
 
 def _trend(t: StarTables, days_ahead: int = forecast.DEFAULT_HORIZON, fit_on: str = "all") -> DataFrame:
-    daily = _daily(t).withColumn("product_id", product_id(F.col(KEY)))
+    daily = _with_id(_daily(t)) if fit_on == "train" else _daily(t)
     return forecast.trend_days(daily, t.products(), days_ahead, KEY, fit_on, "product_id")
 
 
@@ -340,22 +339,18 @@ def forecast_summary_labels(t: StarTables) -> DataFrame:
 
 @report
 def history_plus_forecast(t: StarTables) -> DataFrame:
-    past = t.facts().withColumn("product_id", product_id(F.col(KEY)))
-    return forecast.history_plus_forecast(past, forecast.contract(_trend(t)))
+    return forecast.history_plus_forecast(_with_id(t.facts()), forecast.contract(_trend(t)))
 
 
 @report
 def eval_holdout(t: StarTables) -> DataFrame:
-    daily = _daily(t).withColumn("product_id", product_id(F.col(KEY)))
-    pairs = evaluate.holdout_pairs(daily, KEY, "product_id")
-    by_product = evaluate.metrics(pairs, KEY).withColumn("product_id", product_id(F.col(KEY)))
-    return by_product.select("product_id", "n", "mae", "mse", "r2")
+    pairs = evaluate.holdout_pairs(_with_id(_daily(t)), KEY, "product_id")
+    return _with_id(evaluate.metrics(pairs, KEY)).select("product_id", "n", "mae", "mse", "r2")
 
 
 @report
 def eval_metrics(t: StarTables) -> DataFrame:
-    daily = _daily(t).withColumn("product_id", product_id(F.col(KEY)))
-    return evaluate.metrics(evaluate.holdout_pairs(daily, KEY, "product_id"))
+    return evaluate.metrics(evaluate.holdout_pairs(_with_id(_daily(t)), KEY, "product_id"))
 
 
 # -- stock and price -----------------------------------------------------------------------
