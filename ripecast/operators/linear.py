@@ -74,11 +74,19 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(daily: DataFrame, products: DataFrame, key: str = "product_id", train_flag: Column | None = None) -> DataFrame:
-    """(key, coefficients, intercept) per product. `daily` needs the day's mean `unit_price`."""
-    rows = daily if train_flag is None else daily.filter(train_flag)
-    rows = with_calendar(rows.join(products.select(key, "shelf_life_days"), key))
+    """(key, coefficients, intercept) per product. `daily` needs the day's mean `unit_price`.
+
+    Only rows with `train_flag` enter the fit, unless a product has none: then all of its rows do.
+    """
+    used = F.lit(True) if train_flag is None else train_flag
+    rows = with_calendar(daily.withColumn("used", used).join(products.select(key, "shelf_life_days"), key))
     row = F.array(*(F.col(c).cast("double") for c in (*PRODUCT_FEATURES, TARGET)))
-    grouped = rows.groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("days"))
+    grouped = rows.groupBy(key).agg(
+        F.collect_list(F.when(F.col("used"), row)).alias("fitted"),
+        F.collect_list(F.when(~F.col("used"), row)).alias("others"),
+    )
+    days = F.when(F.size("fitted") > 0, F.col("fitted")).otherwise(F.col("others"))
+    grouped = grouped.select(key, F.sort_array(days).alias("days"))
     schema = T.StructType([
         T.StructField(key, grouped.schema[key].dataType),
         T.StructField("coefficients", T.ArrayType(T.DoubleType())),

@@ -54,14 +54,15 @@ def fit(train: DataFrame, model_type: str = "random_forest", trees: int = TREES)
     """Trains on rows that have POOLED_FEATURES and the target.
 
     Training passes over the rows many times, so they are stored first: a lost executor then
-    re-reads its files instead of the sales. The explicit partition count keeps every core
-    busy, where AQE would merge a small table into one partition.
+    re-reads its files instead of the sales. A small table, which AQE merges into few files, is
+    spread over all cores; a large one keeps its file splits.
     """
-    spark = train.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     rows = train.select(*(F.col(c).cast("double") for c in (*POOLED_FEATURES, TARGET)))
-    spread = rows.repartition(parts, "product_id_encoded", "day_of_year", TARGET)
-    return estimator(model_type, trees).fit(materialize(spread, "training-rows"))
+    stored = materialize(rows, "training-rows")
+    cores = stored.sparkSession.sparkContext.defaultParallelism
+    if stored.rdd.getNumPartitions() < cores:
+        stored = stored.repartition(cores, "product_id_encoded", "day_of_year", TARGET)
+    return estimator(model_type, trees).fit(stored)
 
 
 def predict(model: PipelineModel | None, df: DataFrame) -> DataFrame:

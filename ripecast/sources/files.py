@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,19 @@ def read_customers(spark: SparkSession, path: str, fmt: str = "csv") -> DataFram
     return contracts.parse_day(df) if "date" in df.columns else df
 
 
+class Dataset(NamedTuple):
+    sales: DataFrame
+    inventory: DataFrame
+    customers: DataFrame
+
+
+def read_dataset(spark: SparkSession, sales: str, inventory: str, customers: str, fmt: str = "csv") -> Dataset:
+    """The three input tables; fails before reading any if one is missing."""
+    require_paths(spark, sales, inventory, customers)
+    stock = read_inventory(spark, inventory, fmt)
+    return Dataset(read_sales(spark, sales, fmt, stock), stock, read_customers(spark, customers, fmt))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 

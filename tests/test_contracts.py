@@ -103,6 +103,18 @@ def test_customers_pass_through(spark, tmp_path):
     assert got == {"id": "c1", "date": day("2024-01-01")}
 
 
+def test_three_inputs_or_none(spark, tmp_path, make_sales, make_inventory):
+    root = str(tmp_path)
+    files.save_dataset(make_sales([sale("2024-01-01")]).drop("shelf_life_days"),
+                       make_inventory([("2024-01-01", "A", 80, 4)]), root)
+    with pytest.raises(ValueError, match="customers"):
+        files.read_dataset(spark, f"{root}/sales", f"{root}/inventory", f"{root}/customers")
+    files.write_csv(spark.createDataFrame([("c1",)], "id string"), f"{root}/customers")
+    got = files.read_dataset(spark, f"{root}/sales", f"{root}/inventory", f"{root}/customers")
+    assert rows(got.sales)[0]["shelf_life_days"] == 4
+    assert rows(got.inventory)[0]["current_stock"] == 80 and got.customers.count() == 1
+
+
 def test_sale_measures(spark):
     df = spark.createDataFrame([(3, "500.00", "300.50")], "quantity_sold bigint, p string, c string").select(
         "quantity_sold", F.col("p").cast("decimal(12,2)").alias("unit_price"),

@@ -77,6 +77,16 @@ def test_metrics_by_product(seasonal):
     assert set(got) == {f"P{i}" for i in range(4)} and all(r["n"] == 73 for r in got.values())
 
 
+def test_a_product_with_one_sale_still_gets_a_forecast(make_sales):
+    sales = make_sales([sale("2024-01-01", "A", quantity=5)]
+                       + [sale(f"2024-01-{d:02}", "B", quantity=d) for d in range(1, 21)])
+    for model_type in ("trend", "linear_regression", "pooled_linear_regression"):
+        got = rows(DemandModel(model_type).train(sales).forecast_demand(sales, days_ahead=2))
+        assert {r["product_id"] for r in got} == {"A", "B"} and len(got) == 4
+        if not model_type.startswith("pooled"):
+            assert [r["predicted_quantity"] for r in got if r["product_id"] == "A"] == [5, 5]
+
+
 def test_wrong_use(seasonal):
     with pytest.raises(ValueError, match="Unsupported model type: boosting"):
         DemandModel("boosting")
