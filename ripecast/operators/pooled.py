@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripecast.operators.features import FEATURES, TARGET
@@ -36,7 +36,23 @@ def product_level(train: DataFrame, key: str) -> DataFrame:
     )
 
 
-def estimator(model_type: str = "random_forest", trees: int = TREES) -> Pipeline:
+def statistics_memory_mb(spark: SparkSession) -> int:
+    """Memory one task may use for split statistics: an eighth of its share of the executor's heap.
+
+    Every running task holds that much, so a fixed size would overrun small executors, while a
+    small one costs passes over the rows on large ones.
+    """
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        heap, cores = spark._jvm.java.lang.Runtime.getRuntime().maxMemory() >> 20, context.defaultParallelism
+    else:
+        heap = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsMb(
+            spark.conf.get("spark.executor.memory", "1g"))
+        cores = int(spark.conf.get("spark.executor.cores", "1"))
+    return int(min(max(heap // cores // 8, 16), 1024))
+
+
+def estimator(spark: SparkSession, model_type: str = "random_forest", trees: int = TREES) -> Pipeline:
     check_model_type(model_type)
     assemble = VectorAssembler(inputCols=list(POOLED_FEATURES), outputCol="features")
     if model_type == "linear_regression":
@@ -45,7 +61,7 @@ def estimator(model_type: str = "random_forest", trees: int = TREES) -> Pipeline
         regressor = RandomForestRegressor(
             featuresCol="features", labelCol=TARGET, numTrees=trees, maxDepth=MAX_DEPTH,
             minInstancesPerNode=MIN_LEAF, featureSubsetStrategy="all", maxBins=MAX_BINS,
-            seed=SEED,
+            seed=SEED, maxMemoryInMB=statistics_memory_mb(spark),
         )
     return Pipeline(stages=[assemble, regressor])
 
@@ -62,7 +78,7 @@ def fit(train: DataFrame, model_type: str = "random_forest", trees: int = TREES)
     cores = stored.sparkSession.sparkContext.defaultParallelism
     if stored.rdd.getNumPartitions() < cores:
         stored = stored.repartition(cores, "product_id_encoded", "day_of_year", TARGET)
-    return estimator(model_type, trees).fit(stored)
+    return estimator(train.sparkSession, model_type, trees).fit(stored)
 
 
 def predict(model: PipelineModel | None, df: DataFrame) -> DataFrame:
