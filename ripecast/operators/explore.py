@@ -51,6 +51,16 @@ def profile(df: DataFrame, table: str) -> DataFrame:
     )
 
 
+def profile_labels(profiles: DataFrame) -> DataFrame:
+    return profiles.select(
+        "table_name",
+        labels.grouped(F.col("total_records")).alias("total_records"),
+        F.coalesce("date_range", F.lit(labels.NOT_AVAILABLE)).alias("date_range"),
+        *(F.coalesce(F.col(c).cast("string"), F.lit(labels.NOT_AVAILABLE)).alias(c)
+          for c in ("unique_products", "unique_categories")),
+    )
+
+
 def category_metrics(sales: DataFrame, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
     """Units, revenue and profit by category over an optional date range."""
     return (

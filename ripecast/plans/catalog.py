@@ -168,6 +168,11 @@ def data_profile(t: StarTables) -> DataFrame:
     )
 
 
+@report
+def data_profile_labels(t: StarTables) -> DataFrame:
+    return explore.profile_labels(data_profile(t))
+
+
 @report
 def category_metrics(t: StarTables) -> DataFrame:
     return explore.category_metrics(t.totals())

@@ -117,7 +117,7 @@ class DemandModel:
 
     def _future(
         self, sales: DataFrame, product_id: str | None, days_ahead: int,
-        stock: DataFrame | None = None, base_price: float | None = None,
+        stock: DataFrame | None = None, current_stock: int | None = None, base_price: float | None = None,
     ) -> DataFrame:
         """Forecast days with the product's attributes. All joins come before the days multiply."""
         self._require_trained()
@@ -125,10 +125,11 @@ class DemandModel:
         if product_id is not None:
             sales = explore.by_product_id(sales, product_id)
         known = self._attach(products.profile(sales)).withColumn("unit_price", F.col("mean_price"))
-        if stock is not None:
+        if stock is not None and current_stock is None:
             known = products.with_stock(known, products.latest_stock(stock))
         else:
-            known = known.withColumn("current_stock", F.lit(policy.DEFAULT_STOCK).cast("bigint"))
+            level = policy.DEFAULT_STOCK if current_stock is None else current_stock
+            known = known.withColumn("current_stock", F.lit(level).cast("bigint"))
         if base_price is not None:
             known = known.withColumn("base_price", F.lit(float(base_price)))
         days = self._score(forecast.future_days(known, days_ahead))
@@ -142,18 +143,21 @@ class DemandModel:
 
     def stock_projection(
         self, sales: DataFrame, inventory: DataFrame | None = None, product_id: str | None = None,
-        reorder_level: int = policy.DEFAULT_REORDER_LEVEL,
+        reorder_level: int = policy.DEFAULT_REORDER_LEVEL, current_stock: int | None = None,
     ) -> DataFrame:
-        """Stock left after each forecast day; the default stock where `inventory` has no row."""
-        days = self._future(sales, product_id, forecast.DEFAULT_HORIZON, inventory)
+        """Stock left after each forecast day.
+
+        It starts from `current_stock`, else from the latest `inventory` row, else from the default.
+        """
+        days = self._future(sales, product_id, forecast.DEFAULT_HORIZON, inventory, current_stock)
         return replenish.stock_projection(days, reorder_level)
 
     def forecast_inventory_replenishment(
         self, sales: DataFrame, inventory: DataFrame | None = None, product_id: str | None = None,
-        reorder_level: int = policy.DEFAULT_REORDER_LEVEL,
+        reorder_level: int = policy.DEFAULT_REORDER_LEVEL, current_stock: int | None = None,
     ) -> DataFrame:
-        """When and how much to reorder; no row for a product whose stock lasts."""
-        days = self._future(sales, product_id, forecast.DEFAULT_HORIZON, inventory)
+        """When and how much to reorder; no row for a product whose stock lasts. Stock as in `stock_projection`."""
+        days = self._future(sales, product_id, forecast.DEFAULT_HORIZON, inventory, current_stock)
         return replenish.reorder_plan(days, reorder_level)
 
     def optimize_pricing(

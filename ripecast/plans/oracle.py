@@ -253,6 +253,18 @@ def statements() -> dict[str, str]:
     def signed(x: str, text: str) -> str:
         return f"concat(CASE WHEN {x} >= 0 THEN '+' ELSE '' END, {text})"
 
+    profile = SALES + """
+          SELECT 'sales' AS table_name, count(*) AS total_records,
+                 concat(strftime(min(date), '%Y-%m-%d'), ' au ', strftime(max(date), '%Y-%m-%d')) AS date_range,
+                 count(DISTINCT product_id) AS unique_products, count(DISTINCT category) AS unique_categories
+          FROM sales
+          UNION ALL
+          SELECT 'inventory', count(*),
+                 concat(strftime(min(date), '%Y-%m-%d'), ' au ', strftime(max(date), '%Y-%m-%d')),
+                 count(DISTINCT product_id), NULL
+          FROM sales
+          UNION ALL SELECT 'customer', count(*), NULL, NULL, NULL FROM customer"""
+
     return {
         "scan_sales": f"""
           SELECT {PRODUCT_ID.format(k='l_partkey')} AS product_id, CAST(l_shipdate AS DATE) AS date,
@@ -301,17 +313,13 @@ def statements() -> dict[str, str]:
         "top_products": w + SALES + """
           SELECT product_name, CAST(sum(revenue) AS DOUBLE) AS revenue FROM sales
           GROUP BY product_name ORDER BY sum(revenue) DESC, product_name LIMIT 10""",
-        "data_profile": w + SALES + """
-          SELECT 'sales' AS table_name, count(*) AS total_records,
-                 concat(strftime(min(date), '%Y-%m-%d'), ' au ', strftime(max(date), '%Y-%m-%d')) AS date_range,
-                 count(DISTINCT product_id) AS unique_products, count(DISTINCT category) AS unique_categories
-          FROM sales
-          UNION ALL
-          SELECT 'inventory', count(*),
-                 concat(strftime(min(date), '%Y-%m-%d'), ' au ', strftime(max(date), '%Y-%m-%d')),
-                 count(DISTINCT product_id), NULL
-          FROM sales
-          UNION ALL SELECT 'customer', count(*), NULL, NULL, NULL FROM customer""",
+        "data_profile": w + profile,
+        "data_profile_labels": f"""
+          SELECT table_name, format('{{:,}}', total_records) AS total_records,
+                 coalesce(date_range, 'N/A') AS date_range,
+                 coalesce(CAST(unique_products AS VARCHAR), 'N/A') AS unique_products,
+                 coalesce(CAST(unique_categories AS VARCHAR), 'N/A') AS unique_categories
+          FROM (WITH {profile})""",
         "category_metrics": w + SALES + """
           SELECT category, CAST(sum(quantity_sold) AS BIGINT) AS quantity_sold,
                  CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(profit) AS DOUBLE) AS profit

@@ -118,9 +118,9 @@ class StarTables:
         order line, and a best-seller leaves each map task as one row. `n_sales` counts the lines.
         """
         day = F.col("date")
-        facts = self.facts(**bounds)
-        derived = {"season": calendar.climate_season(day), "is_weekend": calendar.is_weekend(day)}
-        facts = facts.withColumns({c: derived[c] for c in by if c in derived} or {"date": day})
+        facts = self.facts(**bounds).withColumns(
+            {"season": calendar.climate_season(day), "is_weekend": calendar.is_weekend(day)}
+        )
         summed = facts.groupBy("product_key", *by).agg(
             F.sum("quantity_sold").alias("quantity_sold"), F.count("*").alias("n_sales")
         )

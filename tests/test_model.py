@@ -59,6 +59,8 @@ def test_one_product_equals_its_part_of_all(seasonal, spark, make_inventory):
     assert one == [everything["P1"]] and one[0]["current_stock"] == 260
     assert everything["P0"]["current_stock"] == 100
     assert len(rows(model.stock_projection(seasonal, stock))) == 120
+    entered, = rows(model.forecast_inventory_replenishment(seasonal, stock, "P1", current_stock=150))
+    assert entered["current_stock"] == 150
     price, = rows(model.optimize_pricing(seasonal, "P1", base_price=500.0))
     assert price["current_price"] == 500.0
     assert {r["current_price"] for r in rows(model.optimize_pricing(seasonal))} == {10.0}
