@@ -97,11 +97,12 @@ def top_products(sales: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
-def overview(sales: DataFrame) -> DataFrame:
+def overview(sales: DataFrame, sold: DataFrame | None = None) -> DataFrame:
     """All eight headline figures in one row, from two passes over the sales.
 
     The first pass keeps additive measures per day, category and season; everything but the
-    product count follows from that small table.
+    product count follows from that small table. `sold` is any table with the ids of the products
+    sold, if there is one that is cheaper to count than `sales`.
     """
     cube = sales.groupBy("date", "category", "season").agg(
         F.count("*").alias("n"),
@@ -137,14 +138,14 @@ def overview(sales: DataFrame) -> DataFrame:
             "season", F.when(season, F.struct(-F.coalesce(F.col("revenue"), F.lit(0)), F.col("season")))
         ).alias("peak_season"),
     )
-    products = sales.agg(F.count_distinct("product_id").alias("total_products"))
+    products = (sales if sold is None else sold).agg(F.count_distinct("product_id").alias("total_products"))
     both = figures.unionByName(products, allowMissingColumns=True)
     merged = both.agg(*(F.max(c).alias(c) for c in both.columns))
     return merged.fillna(labels.NOT_AVAILABLE, ["top_category", "peak_season"])
 
 
-def overview_labels(sales: DataFrame) -> DataFrame:
-    """The headline figures as display text, one row per figure."""
+def overview_labels(figures: DataFrame) -> DataFrame:
+    """The row of headline figures as display text, one row per figure."""
     c = F.col
     texts = {
         "total_revenue": labels.money_grouped(c("total_revenue")),
@@ -156,5 +157,5 @@ def overview_labels(sales: DataFrame) -> DataFrame:
         "avg_profit_margin": labels.percent(c("avg_profit_margin")),
         "peak_season": c("peak_season"),
     }
-    wide = overview(sales).select(*(text.alias(name) for name, text in texts.items()))
+    wide = figures.select(*(text.alias(name) for name, text in texts.items()))
     return wide.unpivot([], list(texts), "kpi", "label")

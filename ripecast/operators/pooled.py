@@ -26,7 +26,7 @@ MODEL_TYPES = ("random_forest", "linear_regression")
 
 def check_model_type(model_type: str, allowed: tuple[str, ...] = MODEL_TYPES) -> None:
     if model_type not in allowed:
-        raise ValueError(f"Unsupported model type: {model_type}")
+        raise ValueError(f"unknown model type {model_type!r}, choose from {', '.join(allowed)}")
 
 
 def product_level(train: DataFrame, key: str) -> DataFrame:
@@ -84,5 +84,5 @@ def fit(train: DataFrame, model_type: str = "random_forest", trees: int = TREES)
 def predict(model: PipelineModel | None, df: DataFrame) -> DataFrame:
     """Adds `prediction` to rows that have POOLED_FEATURES."""
     if model is None:
-        raise ValueError("Model has not been trained yet. Call train() first.")
+        raise ValueError("untrained model: fit it before predicting")
     return model.transform(df).drop("features")

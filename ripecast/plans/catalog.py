@@ -136,12 +136,12 @@ def kpi_peak_season(t: StarTables) -> DataFrame:
 
 @report
 def kpi_overview(t: StarTables) -> DataFrame:
-    return kpis.overview(t.sales())
+    return kpis.overview(t.sales(), sold=t.totals())
 
 
 @report
 def kpi_labels(t: StarTables) -> DataFrame:
-    return kpis.overview_labels(t.sales())
+    return kpis.overview_labels(kpi_overview(t))
 
 
 @report

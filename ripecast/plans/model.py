@@ -82,7 +82,7 @@ class DemandModel:
 
     def _require_trained(self) -> None:
         if self._per_product is None:
-            raise ValueError("Model has not been trained yet. Call train() first.")
+            raise ValueError("untrained model: call train or load first")
 
     def _attach(self, df: DataFrame) -> DataFrame:
         """Adds what the model knows about a product; cheapest on one row per product."""
