@@ -136,7 +136,7 @@ def kpi_peak_season(t: StarTables) -> DataFrame:
 
 @report
 def kpi_overview(t: StarTables) -> DataFrame:
-    return kpis.overview(t.sales(), sold=t.totals())
+    return kpis.overview(t.sales(), sold=t.sold_products())
 
 
 @report
@@ -201,12 +201,12 @@ def product_kpi_labels(t: StarTables) -> DataFrame:
 
 @report
 def product_list(t: StarTables) -> DataFrame:
-    return explore.product_list(t.totals())
+    return explore.product_list(t.sold_products())
 
 
 @report
 def product_lookup(t: StarTables) -> DataFrame:
-    return explore.product_lookup(t.totals())
+    return explore.product_lookup(t.sold_products())
 
 
 @report
@@ -276,7 +276,7 @@ def date_features(t: StarTables) -> DataFrame:
 
 @report
 def label_encode(t: StarTables) -> DataFrame:
-    return features.label_codes(t.totals())
+    return features.label_codes(t.sold_products())
 
 
 @report

@@ -106,6 +106,11 @@ class StarTables:
             price.cast("double").alias("mean_price"),
         )
 
+    def sold_products(self) -> DataFrame:
+        """Products with at least one order line; keys are made distinct before they meet the dimension."""
+        keys = self.facts().select("product_key").distinct()
+        return self.products().join(keys, "product_key", "left_semi")
+
     def priced_facts(self, **bounds: object) -> DataFrame:
         """Facts with the product's attributes, and with revenue, cost and profit."""
         return contracts.with_sale_measures(self.facts(**bounds).join(self.products(), "product_key"))
