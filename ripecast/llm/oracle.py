@@ -1,0 +1,61 @@
+"""DuckDB SQL of the queries that SQL can express."""
+
+from __future__ import annotations
+
+from ripecast.llm import mixing, queries
+
+MIXING = f"""
+WITH sizes AS (
+  SELECT coalesce(source, '') AS k, sum(coalesce(strlen(text), 0)) AS bytes FROM documents GROUP BY 1),
+weighted AS (SELECT k, bytes, pow(CAST(bytes AS DOUBLE), {mixing.TEMPER}) AS w FROM sizes),
+totals AS (SELECT sum(bytes) AS b, CAST(sum(CAST(w AS DECIMAL(28,6))) AS DOUBLE) AS w FROM weighted WHERE bytes > 0),
+rates AS (
+  SELECT k, CASE WHEN bytes > 0 THEN weighted.w / totals.w * totals.b / bytes ELSE 0 END AS rate FROM weighted, totals),
+terms AS (SELECT k, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 30) AS INT) + 1)) AS n FROM rates),
+logs AS (
+  SELECT k, rate, n, CASE WHEN rate > 0 THEN exp(n * ln(rate) - rate
+    - sum(CASE WHEN n > 0 THEN ln(CAST(n AS DOUBLE)) ELSE 0 END) OVER (PARTITION BY k ORDER BY n)) WHEN n = 0 THEN 1 ELSE 0 END AS p
+  FROM terms),
+steps AS (SELECT k, rate, n, sum(p) OVER (PARTITION BY k ORDER BY n) AS c FROM logs),
+lists AS (SELECT k, rate, list(c ORDER BY n) AS steps FROM steps GROUP BY 1, 2),
+counted AS (
+  SELECT doc_id, source, rate, coalesce(CAST(doc_id AS VARCHAR), '') AS ident,
+    CAST(len([c for c in steps if c <= u]) AS INT) AS repeats
+  FROM (SELECT *, CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT)
+      / 4503599627370496.0 AS u FROM documents) d JOIN lists ON coalesce(source, '') = k)
+SELECT doc_id, source, repeats, CAST(r AS INT) AS replica, round(rate, 6) AS rate,
+  CAST('0x' || substr(md5('{mixing.SEED}:' || r || ':' || ident), 1, 15) AS BIGINT) AS shuffle_key
+FROM (SELECT *, unnest(range(1, repeats + 1)) AS r FROM counted WHERE repeats > 0)
+"""
+
+URL_FILTER = f"""
+WITH hosted AS (
+  SELECT page_id, url, DATE '{queries.FIRST_DAY}' + CAST(((page_id % {queries.DAYS}) + {queries.DAYS}) % {queries.DAYS} AS INT) AS fetched_on,
+    nullif(lower(rtrim(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '.')), '') AS host
+  FROM pages),
+hosts AS (SELECT DISTINCT host FROM hosted WHERE host IS NOT NULL),
+patterns AS (
+  SELECT DISTINCT unnest([host, array_to_string(list_slice(string_split(host, '.'), -3, NULL), '.')]) AS pattern FROM hosts),
+h AS (SELECT pattern, md5(pattern) AS h FROM patterns),
+n AS (
+  SELECT pattern, CAST('0x' || h[1:2] AS INT) AS listed, CAST('0x' || h[2:2] AS INT) % 3 AS cat,
+    DATE '{queries.FIRST_DAY}' + CAST('0x' || h[3:5] AS INT) % 500 AS d1,
+    CAST('0x' || h[6:7] AS INT) + 1 AS s2, CAST('0x' || h[8:9] AS INT) + 1 AS s3, CAST('0x' || h[10:10] AS INT) AS kind FROM h),
+spans AS (
+  SELECT pattern, ['adult', 'spam', 'malware'][cat + 1] AS category, d1 AS valid_from,
+    CASE WHEN kind < 8 THEN d1 + s2 ELSE DATE '9999-12-31' END AS valid_to FROM n WHERE listed < 96
+  UNION ALL
+  SELECT pattern, ['adult', 'spam', 'malware'][cat + 1], d1 + s2 + s3, DATE '9999-12-31' FROM n WHERE listed < 96 AND kind < 4),
+asked AS (
+  SELECT host, fetched_on, pattern FROM (SELECT DISTINCT host, fetched_on FROM hosted WHERE host IS NOT NULL),
+    LATERAL (SELECT unnest([array_to_string(list_slice(string_split(host, '.'), i, NULL), '.')
+      for i in range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1)]) AS pattern)),
+verdicts AS (
+  SELECT host, fetched_on, string_agg(DISTINCT category, ',' ORDER BY category) AS categories,
+    max({{'n': length(pattern), 'p': pattern, 'f': valid_from}}) AS best
+  FROM asked JOIN spans USING (pattern) WHERE valid_from <= fetched_on AND fetched_on < valid_to GROUP BY 1, 2)
+SELECT page_id, fetched_on, host, best IS NOT NULL AS blocked, categories, best.p AS pattern, best.f AS listed_on
+FROM hosted LEFT JOIN verdicts USING (host, fetched_on)
+"""
+
+STATEMENTS = {"op7_mixing": MIXING, "op10_url_filter": URL_FILTER}
