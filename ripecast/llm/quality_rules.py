@@ -83,7 +83,10 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     covered = F.aggregate(F.transform(q, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(F.col(q), k + 1), x + 3) - x)),
                           F.lit(0), lambda a, x: a + x)
     rows = rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("bigint")).drop(q)
-    return rows.withColumn("base_failed", F.expr(BASE_FAILED))
+    # Filters are not pushed below a generator; below, they would repeat the word arrays in every element's expression.
+    rows = rows.withColumn("__found", F.explode(F.array(F.struct(*STATISTICS)))).drop(*STATISTICS)
+    return rows.withColumns({n: F.col(f"__found.{n}") for n in STATISTICS}).drop("__found").withColumn(
+        "base_failed", F.expr(BASE_FAILED))
 
 
 @dataclass(frozen=True)
@@ -135,9 +138,14 @@ def learn(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> D
     cut = sample.agg(*(F.percentile(n, spots).alias(f"a_{n}") for n in names),
                      *(F.percentile(F.when(F.col("reject") == 1, F.col(n)), spots).alias(f"r_{n}") for n in names)).first()
     edges = {n: sorted({round(v, 9) for v in [*(cut[f"a_{n}"] or []), *(cut[f"r_{n}"] or [])]}) for n in names}
+
+    def bin_of(name: str) -> Column:
+        if not edges[name]:
+            return F.lit(0)
+        return F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges[name])), lambda e: e <= F.col(name)))
+
     binned = sample.groupBy("reject", "held", *(
-        F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges[n])), lambda e, n=n: e <= F.col(n))).alias(n)
-        if edges[n] else F.lit(0).alias(n) for n in names)).agg(F.count("*").alias("weight"))
+        bin_of(n).alias(n) for n in names)).agg(F.count("*").alias("weight"))
     binned = materialize(binned, "labelled-bins")
 
     def counts(rows: DataFrame) -> dict[str, dict[int, list[int]]]:
