@@ -133,7 +133,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LA
 def learn(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> DecisionList:
     sample = materialize(labelled_sample(docs, labels, max_labels), "labelled-statistics")
     names = list(FEATURES)
-    spots = [k / BINS for k in range(1, BINS)]
+    spots = [k / BINS for k in range(BINS)]
     # Thresholds from the rejected rows and from all rows, so that a rare class has its own.
     cut = sample.agg(*(F.percentile(n, spots).alias(f"a_{n}") for n in names),
                      *(F.percentile(F.when(F.col("reject") == 1, F.col(n)), spots).alias(f"r_{n}") for n in names)).first()

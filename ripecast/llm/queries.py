@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripecast.llm import mixing, quality_rules, sharding, url_filter
+from ripecast.llm import decontaminate, language_id, mixing, quality_rules, sharding, url_filter
 
 SHARDS = 40
 
@@ -23,6 +23,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select(
@@ -35,6 +40,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *quality_rules.STATISTICS, "base_failed", "kept", "rule")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identify(docs, language_id.profiles(docs))
+
+
 # The page table has no fetch time and there is no block list, so both follow from its own rows by
 # rules that SQL can repeat: the day from the page id, list changes from the md5 of every domain.
 FIRST_DAY, DAYS = "2023-01-01", 730
@@ -73,7 +83,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
+    "op5_decontaminate": op5_decontaminate,
     "op7_mixing": op7_mixing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
 }
