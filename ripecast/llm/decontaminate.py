@@ -37,7 +37,7 @@ from ripecast.llm import text
 SHARE = 0.2          # edits allowed per word of the item
 MIN_WORDS = 8
 SAMPLES = 3
-REPEATS = 12
+REPEATS = 16
 TARGET_RECALL = 0.95
 SEED = 5
 BLOCK_ITEM_BYTES = 32 << 20
