@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -106,17 +107,21 @@ def exchange(
     settle: Callable[[bytes, dict[int, bytes]], Iterator[pa.RecordBatch]],
     schema: T.StructType,
     block_bytes: int = BLOCK_BYTES,
+    beside: DataFrame | None = None,
 ) -> DataFrame:
     """
     ask(table of documents)        -> (bucket, keys) rows and one (OWN, notes) row
     answer(keys of a bucket, one per block) -> answers, in the same order
     settle(notes, answers by bucket) -> record batches of `schema`
+
+    With `beside`, a table of (bucket, payload) with a row per bucket, `answer` gets that payload as a second argument.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     from ripecast.llm.text import merged
 
     arrow = to_arrow_schema(schema)
+    has_beside = beside is not None
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[Row]:
@@ -131,9 +136,17 @@ def exchange(
     def answering(table: pa.Table) -> pa.Table:
         if table["bucket"][0].as_py() < 0:
             return table
-        payloads = table["payload"].to_pylist()
-        given = pa.array(list(answer(payloads)), pa.binary())
-        return pa.Table.from_arrays([table["block"], table["bucket"], given], schema=ARROW)
+        asking_blocks = pc.greater_equal(table["block"], 0)
+        asked_rows = table.filter(asking_blocks)
+        payloads = asked_rows["payload"].to_pylist()
+        if not payloads:
+            return asked_rows
+        if not has_beside:
+            given = list(answer(payloads))
+        else:
+            known = table.filter(pc.invert(asking_blocks))["payload"].to_pylist()
+            given = list(answer(payloads, known[0] if known else None))
+        return pa.Table.from_arrays([asked_rows["block"], asked_rows["bucket"], pa.array(given, pa.binary())], schema=ARROW)
 
     def settling(table: pa.Table) -> pa.Table:
         notes, answers = b"", {}
@@ -145,5 +158,7 @@ def exchange(
         return pa.Table.from_batches(list(settle(notes, answers)), schema=arrow)
 
     asked = docs.mapInArrow(asking, ROW)
+    if beside is not None:
+        asked = asked.unionAll(beside.selectExpr("-1L AS block", "bucket", "payload"))
     answered = asked.groupBy("bucket").applyInArrow(answering, ROW)
     return answered.groupBy("block").applyInArrow(settling, schema)
