@@ -278,20 +278,9 @@ def tree_join(groups: DataFrame, share: int) -> DataFrame:
     return groups.groupBy("token", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame, size: int = SIZE, share: int = SHARE) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document; component_id is the smallest id reachable by links."""
-    rows = text.only(docs, "doc_id", "text").filter("doc_id IS NOT NULL")
-    counted = materialize(shared_counts(rows, size), "shared-shingles")
-    able = counted.filter(f"n_shingles > 0 AND 100 * n_shared >= {share} * n_shingles").select("doc_id").distinct()
-    sets = materialize(token_sets(of_ids(rows, able), size).withColumn("row", F.monotonically_increasing_id()), "token-sets")
-    # One row per distinct set stands for it.
-    firsts = materialize(sets.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("copies")).select(
-        "digest", F.col("first.doc_id").alias("node"), F.col("first.row").alias("row")), "set-classes")
-    classes = of_ids(sets, firsts.select("row"), "row").select(F.col("doc_id").alias("node"), "tokens")
-    member = sets.select("doc_id", "digest").join(firsts.select("digest", "node"), "digest").select("doc_id", "node").filter(
-        "doc_id <> node")
-
-    meet = materialize(prefixes(classes, share), "prefixes")
+def group_links(meet: DataFrame, classes: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
+    """Links between classes (node, tokens) that share a token of `meet` (token, node): components found by single comparisons,
+    and the links that the trees add to them."""
     least = meet.groupBy("token").agg(F.min("node").alias("a"))
     often = meet.join(least, "token").filter("a <> node").groupBy("node", "a").agg(F.count("*").alias("n"))
     pairs = often.groupBy("node").agg(F.max(F.struct("n", (-F.col("a")).alias("minus"))).alias("best")).select(
@@ -306,7 +295,23 @@ def join(docs: DataFrame, size: int = SIZE, share: int = SHARE) -> DataFrame:
     tiled = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "comp")
     links = materialize(tree_join(tiled.join(classes, "node"), share), "tree-links")
+    return known, links
+
+
+def join(docs: DataFrame, size: int = SIZE, share: int = SHARE) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document; component_id is the smallest id reachable by links."""
+    rows = text.only(docs, "doc_id", "text").filter("doc_id IS NOT NULL")
+    counted = materialize(shared_counts(rows, size), "shared-shingles")
+    able = counted.filter(f"n_shingles > 0 AND 100 * n_shared >= {share} * n_shingles").select("doc_id").distinct()
+    sets = materialize(token_sets(of_ids(rows, able), size).withColumn("row", F.monotonically_increasing_id()), "token-sets")
+    # One row per distinct set stands for it.
+    firsts = materialize(sets.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("copies")).select(
+        "digest", F.col("first.doc_id").alias("node"), F.col("first.row").alias("row")), "set-classes")
+    classes = of_ids(sets, firsts.select("row"), "row").select(F.col("doc_id").alias("node"), "tokens")
+    member = sets.select("doc_id", "digest").join(firsts.select("digest", "node"), "digest").select("doc_id", "node").filter(
+        "doc_id <> node")
 
+    known, links = group_links(materialize(prefixes(classes, share), "prefixes"), classes, share)
     ends = known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links).unionAll(
         member.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     final = components(ends).withColumnsRenamed({"node": "doc_id", "component": "component_id"})
