@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ripecast.llm import mixing, quality_rules, sharding
+from ripecast.llm import decontaminate, jaccard_join, mixing, quality_rules, sharding
 from ripecast.llm.queries import SHARDS, table
 from ripecast.sources.files import materialize
 
@@ -23,6 +23,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.filter("kept").select(*COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of every group linked by five-word shingles at 80 % Jaccard share."""
+    found = materialize(jaccard_join.join(docs), "near-duplicates")
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    return jaccard_join.of_ids(docs, gone, how="left_anti").select(*COLUMNS)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item, also a slightly changed one."""
+    found = materialize(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")), "leaks")
+    return jaccard_join.of_ids(docs, found.select("doc_id").distinct(), how="left_anti").select(*COLUMNS)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by a Poisson number with their source's target rate, in global random order."""
     return mixing.mix(docs).select(*COLUMNS)
@@ -35,6 +48,8 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality),
+    ("n-gram jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminated),
     ("mixing", mixed),
     ("sharding", shards),
 ]
