@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripecast.llm import decontaminate, jaccard_join, language_id, lm_scoring, mixing, paragraph_dedup, quality_rules, sharding, url_filter
+from ripecast.llm import decontaminate, jaccard_join, language_id, lm_scoring, mixing, paragraph_dedup, quality_rules, sharding, suffix_dedup, url_filter
 
 SHARDS = 40
 
@@ -27,6 +27,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -97,6 +101,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_sharding": op2_sharding,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_paragraph_dedup": op4_paragraph_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_jaccard_join": op6_jaccard_join,
