@@ -6,10 +6,9 @@ Exact for every pair, in steps that leave out only what can't link:
    fingerprints answers (a false match only lets a document through). A document with fewer than the share can have no link.
 2. The others' sets are stored; equal sets become one class with its smallest id.
 3. Shingles are ordered from rare to frequent. Two sets that link share one of their first n - ceil(share * n) + 1 shingles, so
-   classes meet by those. Each class is first compared with one class that it meets most often, and
-   the links give components.
-4. Shingles whose classes are all in one component have nothing left to tell. For each of the others a signature tree
-   is built over its classes: leaves are sets, nodes hold the OR of their token bitmaps and the range of
+   classes meet by those. Each class is first compared with one class that it meets most often.
+4. Shingles whose classes are all linked with one class have nothing left to tell. The classes of those with the same smallest class
+   go into one signature tree, as long as they are no more than a TILE; beyond, every shingle's classes do. Leaves are sets, nodes hold the OR of their token bitmaps and the range of
    their sizes. A dual traversal drops node pairs whose largest possible overlap is too small for their sizes, or that
    are in one component already; pairs of leaves that remain are counted exactly. A shingle with more than TILE
    classes is dealt out in pairs of tiles, so that no task gets an unbounded group.
@@ -97,9 +96,9 @@ def shared_counts(docs: DataFrame, size: int) -> DataFrame:
     return ex.exchange(docs, ask, answer, settle, COUNTED)
 
 
-def of_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows whose key is among distinct ids: by broadcast if the ids are few, else by a shuffled join."""
-    return rows.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, key, "left_semi")
+def of_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id", how: str = "left_semi") -> DataFrame:
+    """Rows whose key is among distinct ids, or with "left_anti" is not: by broadcast if the ids are few, else by a shuffled join."""
+    return rows.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, key, how)
 
 
 def token_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -252,7 +251,7 @@ def tree_links(left: Tree, right: Tree, nodes_l: np.ndarray, nodes_r: np.ndarray
 
 
 def tree_join(groups: DataFrame, share: int) -> DataFrame:
-    """Links within groups: rows (token, i, j, tile, node, comp, tokens); tile i is joined with tile j."""
+    """Links within groups: rows (kind, token, i, j, tile, node, comp, tokens); tile i is joined with tile j."""
 
     def run(t: pa.Table) -> pa.Table:
         tile = t["tile"].to_numpy()
@@ -275,25 +274,37 @@ def tree_join(groups: DataFrame, share: int) -> DataFrame:
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return groups.groupBy("token", "i", "j").applyInArrow(run, "a long, b long")
+    return groups.groupBy("kind", "token", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def group_links(meet: DataFrame, classes: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
-    """Links between classes (node, tokens) that share a token of `meet` (token, node): components found by single comparisons,
-    and the links that the trees add to them."""
+    """Links between classes (node, tokens) that share a token of `meet` (token, node): those found by single comparisons,
+    as (node, component), and those that the trees add to them. Together they connect all classes that links connect."""
     least = meet.groupBy("token").agg(F.min("node").alias("a"))
     often = meet.join(least, "token").filter("a <> node").groupBy("node", "a").agg(F.count("*").alias("n"))
     pairs = often.groupBy("node").agg(F.max(F.struct("n", (-F.col("a")).alias("minus"))).alias("best")).select(
         (-F.col("best.minus")).alias("a"), F.col("node").alias("b"))
     stars = materialize(verified(pairs, classes, share), "star-links")
-    known = materialize(components(stars), "star-components")
-
+    # A class is known to be linked with its center, and with that one's: labels good enough to tell what is settled.
+    own = stars.select(F.col("b").alias("node"), F.col("a").alias("center"))
+    known = materialize(own.join(own.select(F.col("node").alias("center"), F.col("center").alias("next")), "center", "left").select(
+        "node", F.coalesce("next", "center").alias("component")), "star-labels")
     placed = meet.join(known, "node", "left").select("token", "node", F.coalesce("component", "node").alias("comp"))
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("g")).filter(
-        "lo <> hi").select("token", F.ceil(F.col("g") / TILE).cast("int").alias("tiles"))
-    dealt = placed.join(mixed, "token").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    tiled = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "comp")
+    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("least"),
+                                        F.count("*").alias("g"), F.bit_xor(F.xxhash64("node")).alias("who")).filter("lo <> hi")
+    # Of tokens with the very same classes one is enough.
+    telling = mixed.groupBy("g", "who", "least").agg(F.min("token").alias("token"))
+    dealt = materialize(placed.join(telling, "token").select("token", "node", "comp", "least", "g"), "mixed-tokens")
+    # Tokens with the same smallest class are joined at once, each set sent once, unless those are more than a tile of classes.
+    members = dealt.select("least", "node", "comp").distinct()
+    sizes = members.groupBy("least").agg(F.count("*").alias("members"))
+    small = members.join(sizes, "least").filter(F.col("members") <= TILE).select(
+        F.lit(0).alias("kind"), F.col("least").alias("token"), "node", "comp", F.lit(1).alias("tiles"))
+    large = dealt.join(sizes, "least").filter(F.col("members") > TILE).select(
+        F.lit(1).alias("kind"), "token", "node", "comp", F.ceil(F.col("g") / TILE).cast("int").alias("tiles"))
+    parted = small.unionAll(large).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    tiled = parted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "kind", "token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "comp")
     links = materialize(tree_join(tiled.join(classes, "node"), share), "tree-links")
     return known, links
 
