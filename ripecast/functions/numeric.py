@@ -12,7 +12,8 @@ def half_even(x: Column) -> Column:
 
 
 def at_least_zero(x: Column) -> Column:
-    return F.greatest(F.lit(0).cast("bigint"), x)
+    """x, or 0 if it is negative; NULL stays NULL."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0).cast("bigint"), x))
 
 
 def truncate(x: Column) -> Column:
@@ -31,12 +32,18 @@ def sum_or_zero(x: Column) -> Column:
 
 
 def row_order(day: Column, tie: Column) -> Column:
-    """One BIGINT that sorts like (day, tie), for 0 <= tie < 2**46 and days up to the year 2300.
+    """One BIGINT that sorts like (day, tie), for days up to the year 2300; fails unless 0 <= tie < 2**46.
 
     A numeric ordering key keeps `min_by` and `max_by` in the hash aggregate; a struct of the
     two would force Spark to sort every input row.
     """
-    return F.shiftleft(F.unix_date(day).cast("bigint"), 46) + tie.cast("bigint")
+    return F.shiftleft(F.unix_date(day).cast("bigint"), 46) + within(tie.cast("bigint"), 1 << 46, "row order tie")
+
+
+def within(x: Column, limit: int, name: str) -> Column:
+    """x if it is NULL or in [0, limit); anything else fails the job instead of reordering rows."""
+    return F.when(x.isNull() | ((x >= 0) & (x < limit)), x).otherwise(
+        F.raise_error(F.concat(F.lit(f"{name} must be in [0, {limit}): "), x.cast("string"))).cast("bigint"))
 
 
 def content_tie(*columns: Column) -> Column:

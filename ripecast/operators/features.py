@@ -65,9 +65,11 @@ def label_codes(df: DataFrame, columns: tuple[str, ...] = ENCODED) -> DataFrame:
     offsets = sizes.select(
         "column_name", "part", (F.coalesce(before, F.lit(0)) - F.col("first_place")).alias("offset")
     )
-    return placed.join(F.broadcast(offsets), ["column_name", "part"]).select(
+    coded = placed.join(F.broadcast(offsets), ["column_name", "part"]).select(
         "column_name", "value", (F.col("place") + F.col("offset")).cast("bigint").alias("code")
     )
+    # Stored finished: encoding reads it once per column.
+    return materialize(coded, "codes")
 
 
 def encode(df: DataFrame, codes: DataFrame, columns: tuple[str, ...] = ENCODED) -> DataFrame:
@@ -75,11 +77,13 @@ def encode(df: DataFrame, codes: DataFrame, columns: tuple[str, ...] = ENCODED)
 
     Best on one row per product, joined to its days afterwards.
     """
+    # One row per column.
+    sizes = {r["column_name"]: r["n"] for r in codes.groupBy("column_name").agg((F.max("code") + 1).alias("n")).collect()}
     for column in columns:
         known = codes.filter(F.col("column_name") == column)
         table = known.select(F.col("value").alias(column), F.col("code").cast("double").alias(f"{column}_encoded"))
         df = df.join(table, column, "left")
-        unseen = known.agg(F.coalesce(F.max("code") + 1, F.lit(0)).cast("double")).scalar()
+        unseen = F.lit(float(sizes.get(column, 0)))
         df = df.withColumn(f"{column}_encoded", F.coalesce(F.col(f"{column}_encoded"), unseen))
     return df
 

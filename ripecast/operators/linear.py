@@ -68,13 +68,14 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column(0),
                 pa.array(list(coefficients), pa.list_(pa.float64())),
                 pa.array(intercepts, pa.float64()),
+                batch.column("n_days"),
             ],
-            names=[batch.schema.names[0], "coefficients", "intercept"],
+            names=[batch.schema.names[0], "coefficients", "intercept", "n_days"],
         )
 
 
 def fit(daily: DataFrame, products: DataFrame, key: str = "product_id", train_flag: Column | None = None) -> DataFrame:
-    """(key, coefficients, intercept) per product. `daily` needs the day's mean `unit_price`.
+    """(key, coefficients, intercept, n_days) per product; n_days counts the days with `train_flag`. `daily` needs the day's mean `unit_price`.
 
     Only rows with `train_flag` enter the fit, unless a product has none: then all of its rows do.
     """
@@ -86,11 +87,12 @@ def fit(daily: DataFrame, products: DataFrame, key: str = "product_id", train_fl
         F.collect_list(F.when(~F.col("used"), row)).alias("others"),
     )
     days = F.when(F.size("fitted") > 0, F.col("fitted")).otherwise(F.col("others"))
-    grouped = grouped.select(key, F.sort_array(days).alias("days"))
+    grouped = grouped.select(key, F.size("fitted").cast("bigint").alias("n_days"), F.sort_array(days).alias("days"))
     schema = T.StructType([
         T.StructField(key, grouped.schema[key].dataType),
         T.StructField("coefficients", T.ArrayType(T.DoubleType())),
         T.StructField("intercept", T.DoubleType()),
+        T.StructField("n_days", T.LongType()),
     ])
     return grouped.mapInArrow(_solve, schema)
 

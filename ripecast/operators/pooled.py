@@ -18,6 +18,10 @@ MIN_LEAF = 2
 SEED = 42
 MAX_BINS = 366  # one bin per day of the year
 
+# Bootstrap samples follow partitions, so their number is part of the model: never taken from cores, files
+# or rows. Raise it with the data, to about 128 MB of training rows per partition.
+PARTITIONS = 64
+
 # One forest serves all products, so it also gets the product's level.
 LEVEL = "product_mean_quantity"
 POOLED_FEATURES = (*FEATURES, LEVEL)
@@ -66,19 +70,18 @@ def estimator(spark: SparkSession, model_type: str = "random_forest", trees: int
     return Pipeline(stages=[assemble, regressor])
 
 
-def fit(train: DataFrame, model_type: str = "random_forest", trees: int = TREES) -> PipelineModel:
+def fit(train: DataFrame, model_type: str = "random_forest", trees: int = TREES,
+        partitions: int = PARTITIONS) -> PipelineModel:
     """Trains on rows that have POOLED_FEATURES and the target.
 
     Training passes over the rows many times, so they are stored first: a lost executor then
-    re-reads its files instead of the sales. A small table, which AQE merges into few files, is
-    spread over all cores; a large one keeps its file splits.
+    re-reads its files instead of the sales. They are dealt by their values over `partitions` and
+    sorted there, so that the same rows give the same model on any number of cores.
     """
-    rows = train.select(*(F.col(c).cast("double") for c in (*POOLED_FEATURES, TARGET)))
-    stored = materialize(rows, "training-rows")
-    cores = stored.sparkSession.sparkContext.defaultParallelism
-    if stored.rdd.getNumPartitions() < cores:
-        stored = stored.repartition(cores, "product_id_encoded", "day_of_year", TARGET)
-    return estimator(train.sparkSession, model_type, trees).fit(stored)
+    columns = (*POOLED_FEATURES, TARGET)
+    stored = materialize(train.select(*(F.col(c).cast("double") for c in columns)), "training-rows")
+    dealt = stored.repartition(partitions, *columns).sortWithinPartitions(*columns)
+    return estimator(train.sparkSession, model_type, trees).fit(dealt)
 
 
 def predict(model: PipelineModel | None, df: DataFrame) -> DataFrame:

@@ -26,46 +26,65 @@ class DemandModel:
     pooled_linear_regression  one least-squares fit for all products
 
     `fit_on="train"` leaves the held-out fifth of the days out of the fit, `"all"` uses every day.
+    Missing prices of a day are filled with the product's mean price, then with the mean over all products.
+    `partitions` is the number of bootstrap parts of the pooled models, saved with the model.
     """
 
-    def __init__(self, model_type: str = "random_forest", fit_on: str = "train", trees: int = pooled.TREES):
+    def __init__(self, model_type: str = "random_forest", fit_on: str = "train", trees: int = pooled.TREES,
+                 partitions: int = pooled.PARTITIONS):
         pooled.check_model_type(model_type, MODEL_TYPES)
         if fit_on not in ("all", "train"):
             raise ValueError(f"fit_on must be 'all' or 'train', not {fit_on!r}")
-        self.model_type, self.fit_on, self.trees = model_type, fit_on, trees
+        self.model_type, self.fit_on, self.trees, self.partitions = model_type, fit_on, trees, partitions
         self._per_product: DataFrame | None = None    # coefficients, or codes and level, by product_id
         self._codes: DataFrame | None = None
         self._pipeline: PipelineModel | None = None
         self._test: DataFrame | None = None
+        self._fitted: DataFrame | None = None
         self._profile: DataFrame | None = None
 
     # -- training --------------------------------------------------------------------------
 
     def train(self, sales: DataFrame) -> DemandModel:
-        marked = demand.split(demand.product_daily(sales))
-        profile = products.profile(sales)
+        return self.train_days(demand.product_daily(sales), products.profile(sales))
+
+    def train_days(self, daily: DataFrame, profile: DataFrame) -> DemandModel:
+        """Trains on demand already summed per product and day, and one row per product."""
+        # Both are far smaller than the sales, and fit, metrics and forecast read them: stored once.
+        profile = materialize(profile, "products")
+        marked = demand.split(daily)
+        if self.model_type != "trend":
+            if "unit_price" not in marked.columns:
+                marked = marked.withColumn("unit_price", F.lit(None).cast("double"))
+            usual = profile.agg(F.coalesce(F.avg("mean_price"), F.lit(0.0))).first()[0]
+            prices = profile.select("product_id", F.coalesce("mean_price", F.lit(usual)).alias("known_price"))
+            marked = marked.join(prices, "product_id").withColumn(
+                "unit_price", F.coalesce(F.col("unit_price").cast("double"), "known_price")).drop("known_price")
+        marked = materialize(marked, "product-days")
         used = F.lit(True) if self.fit_on == "all" else F.col("is_test") == 0
         # What was fitted is stored, so that forecast, stock plan and prices share one fit.
         if self.model_type == "trend":
             self._per_product = materialize(trend.fit(marked, train_flag=used), "trend")
         elif self.model_type == "linear_regression":
-            self._per_product = materialize(linear.fit(marked, profile, train_flag=used), "linear")
+            fitted = linear.fit(marked, profile, train_flag=used).join(prices, "product_id")
+            self._per_product = materialize(fitted, "linear")
         else:
-            # Several steps below read these two, which are far smaller than the sales.
-            marked, profile = materialize(marked, "product-days"), materialize(profile, "products")
-            self._train_pooled(marked.filter(used), profile)
+            self._train_pooled(marked.filter(used), profile, prices)
         self._test = marked.filter(F.col("is_test") == 1)
+        self._fitted = marked.filter(used)
         self._profile = profile
         return self
 
-    def _train_pooled(self, rows: DataFrame, profile: DataFrame) -> None:
+    def _train_pooled(self, rows: DataFrame, profile: DataFrame, prices: DataFrame) -> None:
         self._codes = features.label_codes(profile)
-        self._per_product = materialize(pooled.product_level(rows, "product_id"), "product-level")
+        self._per_product = materialize(
+            prices.join(pooled.product_level(rows, "product_id"), "product_id", "left"), "product-level")
         coded = self._attach(profile).select(
             "product_id", "shelf_life_days", pooled.LEVEL, *(f"{c}_encoded" for c in features.ENCODED)
         )
         table = features.with_calendar(rows.join(coded, "product_id"))
-        self._pipeline = pooled.fit(table, POOLED[self.model_type], self.trees)
+        table = table.withColumn(pooled.LEVEL, F.coalesce(F.col(pooled.LEVEL), F.lit(0.0)))
+        self._pipeline = pooled.fit(table, POOLED[self.model_type], self.trees, self.partitions)
 
     def metrics(self, *by: str) -> DataFrame:
         """Accuracy on the held-out days, over all products or by `product_id`."""
@@ -73,11 +92,26 @@ class DemandModel:
         if self._test is None:
             raise ValueError("Metrics need the training session; a loaded model has no held-out days.")
         known = self._attach(self._profile.drop("first_date", "last_date"))
+        predicted = F.col("prediction")
+        if self.model_type in PER_PRODUCT:
+            # A product that was fitted on no training day would be scored by its own answers.
+            predicted = F.when(F.col("n_days") > 0, predicted)
         pairs = self._score(self._test.join(known, "product_id")).select(
-            "product_id", F.col("quantity_sold").alias("actual"), F.col("prediction").alias("predicted")
+            "product_id", F.col("quantity_sold").alias("actual"), predicted.alias("predicted")
         )
         return evaluate.metrics(pairs, *by)
 
+    def products(self) -> DataFrame:
+        """The products trained on, one row each."""
+        self._require_trained()
+        return self._profile
+
+    def fitted_days(self) -> DataFrame:
+        """The days a per-product model was fitted on, with features, quantity and prediction."""
+        self._require_trained()
+        known = self._attach(self._profile.drop("first_date", "last_date"))
+        return self._score(self._fitted.join(known, "product_id"))
+
     # -- prediction ------------------------------------------------------------------------
 
     def _require_trained(self) -> None:
@@ -88,20 +122,26 @@ class DemandModel:
         """Adds what the model knows about a product; cheapest on one row per product."""
         known = self._per_product
         if self.model_type == "trend":
-            return df.drop("first_date").join(known.select("product_id", "intercept", "slope", "first_date"),
+            return df.drop("first_date").join(known.select("product_id", "intercept", "slope", "first_date", "n_days"),
                                               "product_id", "left")
         if self.model_type == "linear_regression":
             return df.join(known, "product_id", "left")
-        average = known.agg(F.avg(pooled.LEVEL)).scalar()
-        return features.encode(df, self._codes).join(known, "product_id", "left").withColumn(
-            pooled.LEVEL, F.coalesce(F.col(pooled.LEVEL), average)
-        )
+        # One row: what a product that was not trained on gets.
+        usual = known.agg(F.avg(pooled.LEVEL), F.avg("known_price")).first()
+        return features.encode(df, self._codes).join(known, "product_id", "left").withColumns({
+            pooled.LEVEL: F.coalesce(F.col(pooled.LEVEL), F.lit(usual[0] or 0.0)),
+            "known_price": F.coalesce("known_price", F.lit(usual[1] or 0.0)),
+        })
 
     def _score(self, df: DataFrame) -> DataFrame:
         """Adds `prediction` to dated rows that went through `_attach`."""
         if self.model_type == "trend":
             return df.withColumn("prediction", trend.prediction(F.col("date")))
         rows = features.with_calendar(df)
+        if "unit_price" in rows.columns:
+            rows = rows.withColumn("unit_price", F.coalesce(F.col("unit_price").cast("double"), "known_price"))
+        else:
+            rows = rows.withColumn("unit_price", F.col("known_price"))
         if self.model_type == "linear_regression":
             return rows.withColumn("prediction", linear.prediction())
         return pooled.predict(self._pipeline, rows)
@@ -116,15 +156,23 @@ class DemandModel:
         return self._score(self._attach(df)).select(*df.columns, "prediction")
 
     def _future(
-        self, sales: DataFrame, product_id: str | None, days_ahead: int,
+        self, sales: DataFrame | None, product_id: str | None, days_ahead: int,
         stock: DataFrame | None = None, current_stock: int | None = None, base_price: float | None = None,
+        profile: DataFrame | None = None,
     ) -> DataFrame:
-        """Forecast days with the product's attributes. All joins come before the days multiply."""
+        """Forecast days with the product's attributes. All joins come before the days multiply.
+
+        Every product of the input has its days; one that a per-product model has not seen has them without a forecast.
+        """
         self._require_trained()
         forecast.check_horizon(days_ahead)
+        if profile is None:
+            profile = self._profile if sales is None else products.profile(sales)
+        if profile is None:
+            raise ValueError("a loaded model needs the sales or products to forecast for")
         if product_id is not None:
-            sales = explore.by_product_id(sales, product_id)
-        known = self._attach(products.profile(sales)).withColumn("unit_price", F.col("mean_price"))
+            profile = explore.by_product_id(profile, product_id)
+        known = self._attach(profile).withColumn("unit_price", F.col("mean_price"))
         if stock is not None and current_stock is None:
             known = products.with_stock(known, products.latest_stock(stock))
         else:
@@ -133,13 +181,18 @@ class DemandModel:
         if base_price is not None:
             known = known.withColumn("base_price", F.lit(float(base_price)))
         days = self._score(forecast.future_days(known, days_ahead))
-        return forecast.with_intervals(days.filter(F.col("prediction").isNotNull()), F.col("prediction"))
+        return forecast.with_intervals(days, F.col("prediction"))
 
     def forecast_demand(
-        self, sales: DataFrame, product_id: str | None = None, days_ahead: int = forecast.DEFAULT_HORIZON
+        self, sales: DataFrame | None = None, product_id: str | None = None,
+        days_ahead: int = forecast.DEFAULT_HORIZON, profile: DataFrame | None = None,
     ) -> DataFrame:
-        """Forecast with intervals for the days after each product's last sale."""
-        return forecast.contract(self._future(sales, product_id, days_ahead))
+        """Forecast with intervals for the days after each product's last sale, NULL where the model knows no product.
+
+        Without `sales` it is for the products trained on, as they were then; `profile` gives them
+        as one row per product.
+        """
+        return forecast.contract(self._future(sales, product_id, days_ahead, profile=profile))
 
     def stock_projection(
         self, sales: DataFrame, inventory: DataFrame | None = None, product_id: str | None = None,
@@ -174,8 +227,8 @@ class DemandModel:
         self._require_trained()
         spark = self._per_product.sparkSession
         about = spark.createDataFrame(
-            [(self.model_type, self.fit_on, self.trees, list(features.FEATURES), features.TARGET)],
-            "model_type string, fit_on string, trees int, features array<string>, target string",
+            [(self.model_type, self.fit_on, self.trees, self.partitions, list(features.FEATURES), features.TARGET)],
+            "model_type string, fit_on string, trees int, partitions int, features array<string>, target string",
         )
         self._per_product.write.parquet(f"{path}/per_product")
         if self.model_type in POOLED:
@@ -185,8 +238,8 @@ class DemandModel:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> DemandModel:
-        about = spark.read.schema("model_type string, fit_on string, trees int").json(f"{path}/about").first()
-        loaded = cls(about.model_type, about.fit_on, about.trees)
+        about = spark.read.schema("model_type string, fit_on string, trees int, partitions int").json(f"{path}/about").first()
+        loaded = cls(about.model_type, about.fit_on, about.trees, about.partitions)
         loaded._per_product = spark.read.parquet(f"{path}/per_product")
         if loaded.model_type in POOLED:
             loaded._codes = spark.read.parquet(f"{path}/codes")
@@ -194,8 +247,12 @@ class DemandModel:
         return loaded
 
 
-def trained_and_reloaded(spark: SparkSession, sales: DataFrame, model_type: str, **options: object) -> DemandModel:
-    """Trains, saves to the shared folder and loads again."""
-    path = shared_path(spark, f"{model_type}-model")
-    DemandModel(model_type, **options).train(sales).save(path)
+def reloaded(model: DemandModel, spark: SparkSession) -> DemandModel:
+    """The model saved to the shared folder and loaded again."""
+    path = shared_path(spark, f"{model.model_type}-model")
+    model.save(path)
     return DemandModel.load(spark, path)
+
+
+def trained_and_reloaded(spark: SparkSession, sales: DataFrame, model_type: str, **options: object) -> DemandModel:
+    return reloaded(DemandModel(model_type, **options).train(sales), spark)

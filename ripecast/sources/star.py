@@ -74,8 +74,8 @@ class StarTables:
     @staticmethod
     def _fact_columns() -> dict[str, Column]:
         day = F.col("l_shipdate").cast("date")
-        # Line numbers stay below 8, so the tie orders by (order, line).
-        line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+        # With line numbers below 8 the tie orders by (order, line).
+        line = F.col("l_orderkey") * 8 + numeric.within(F.col("l_linenumber").cast("bigint"), 8, "line number")
         return {
             "product_key": F.col("l_partkey"),
             "date": day,
