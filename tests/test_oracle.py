@@ -9,6 +9,7 @@ import pytest
 from conftest import TESTDATA
 
 import __spark_entry__ as contract
+from ripecast.plans import catalog, oracle
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(TESTDATA), reason="no test tables")
 
@@ -27,7 +28,7 @@ def sorted_rows(columns, records):
     return sorted(tuple(str(r[i]) for i in order) for r in records)
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(oracle.statements()))
 def test_matches_sql(spark, db, name):
     got = contract.queries()[name](spark, TESTDATA)
     want = db.execute(contract.oracle_sql()[name])
@@ -39,7 +40,7 @@ def test_matches_sql(spark, db, name):
 
 
 def test_only_learned_models_lack_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {
+    assert set(catalog.reports()) - set(oracle.statements()) == {
         "forecast_linear", "forecast_rf", "eval_linear", "model_save_load",
     }
 
