@@ -37,8 +37,9 @@ from ripecast.sources.files import materialize
 
 LENGTH = 100
 GRAM = 32                    # a power of two below LENGTH
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 BROADCAST_BYTES = 64 << 20   # marks and spans beyond this are joined by a shuffle
+SLICE = 1024                 # suffixes hashed at once
 LAST = (1 << 63) - 1         # stands for a null id
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -231,7 +232,13 @@ def merge_runs(runs: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, i
 
 
 def window_hashes(suffixes: list[tuple[bytes, int]], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every window of every suffix, and the number of the suffix. A suffix is its bytes in text order and its window count."""
+    """Hash of every window of every suffix, and the number of the suffix. A suffix is its bytes in text order and its window count.
+
+    A slice of the suffixes at a time: the prefix sums take eight bytes per byte, the hashes that stay far less.
+    """
+    if len(suffixes) > SLICE:
+        parts = [window_hashes(suffixes[at:at + SLICE], length) for at in range(0, len(suffixes), SLICE)]
+        return np.concatenate([h for h, _ in parts]), np.concatenate([w + k * SLICE for k, (_, w) in enumerate(parts)])
     width = max(len(s) for s, _ in suffixes)
     grid = np.zeros((len(suffixes), width + 1), np.uint64)
     for k, (s, _) in enumerate(suffixes):
