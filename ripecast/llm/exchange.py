@@ -30,7 +30,7 @@ ROW = T.StructType([
 ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("payload", pa.binary())])
 
 #: Text of one block, before any array of it: what a task holds at once.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -131,6 +131,8 @@ def exchange(
                 for bucket, payload in ask(t):
                     # A block's own notes get a bucket of their own, so that they are dealt like the others.
                     yield block, bucket if bucket >= 0 else -1 - block, payload
+                # The executor's memory is shared by its workers: what a block needed goes back at once.
+                pa.default_memory_pool().release_unused()
         return rows_out(rows())
 
     def answering(table: pa.Table) -> pa.Table:

@@ -50,7 +50,7 @@ MAX_LEVEL = 120                  # sqrt(2) ** 120 is more than any count
 BROADCAST_BYTES = 256 << 20
 END = np.uint64(0x5851F42D4C957F2D)  # hash of the end token: no word of the text
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 
 PARTS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()),
@@ -187,6 +187,7 @@ def filter_segments(docs: DataFrame) -> DataFrame:
                         packed[b] += [shorten(k[once]), shorten(k[~once]), c[~once].astype(np.uint32)]
                 for b in range(buckets):
                     yield 0, b, ex.pack(*packed[b])
+                pa.default_memory_pool().release_unused()
         return ex.rows_out(rows())
 
     def build(t: pa.Table) -> pa.Table:
