@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ripecast.llm import text
 
 SEED = 17
+SALTS = 64
 TEMPER = 0.5  # without explicit weights: weight of a source = its bytes to this power
 
 
@@ -74,10 +75,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SE
     text.require(docs, "doc_id", "text", "source")
     rates = poisson_steps(source_rates(docs, weights, temper))
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    own = ("repeats", "replica", "rate", "shuffle_key", "source_key", "steps")
-    keyed = docs.drop(*own).withColumn("source_key", F.coalesce(F.col("source").cast("string"), F.lit("")))
-    # A plain join on the source: rates are a row per source; Spark broadcasts them if they are small, else AQE splits a hot source.
-    joined = keyed.join(rates, "source_key").withColumn("u", uniform(F.lit(str(seed)), ident))
+    own = ("repeats", "replica", "rate", "shuffle_key", "source_key", "steps", "salt")
+    # Should the rates be too many to broadcast, a hot source still spreads over SALTS tasks.
+    keyed = docs.drop(*own).withColumns({
+        "source_key": F.coalesce(F.col("source").cast("string"), F.lit("")),
+        "salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")})
+    salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = keyed.join(salted, ["source_key", "salt"]).drop("salt").withColumn("u", uniform(F.lit(str(seed)), ident))
     counted = joined.withColumn("repeats", F.size(F.filter("steps", lambda c: c <= F.col("u")))).drop("steps", "source_key", "u")
     copies = counted.filter("repeats > 0").withColumn("replica", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
     keyed = copies.withColumn("shuffle_key", F.conv(F.substring(F.md5(F.concat_ws(
