@@ -1,8 +1,8 @@
 """Times the headline reports over $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
 Each report runs once to warm up and three times for the median, into a sink that discards rows;
-each learned model runs twice and the second run counts. BENCH_ALL=1 times every report,
-BENCH_FOREST=1 adds the random forest, once and cold.
+each learned model runs twice and the second run counts; the random forest runs once, cold. BENCH_ALL=1 times every
+report, BENCH_FOREST=0 leaves the forest out.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from ripecast.plans import catalog
@@ -45,12 +46,13 @@ def main() -> None:
         spark__driver__memory=os.environ.get("BENCH_MEMORY", "12g"),
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="bench-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
     seconds: dict[str, float] = {}
     for name, report in catalog.reports().items():
         if name == FOREST:
-            if os.environ.get("BENCH_FOREST") != "1":
+            if os.environ.get("BENCH_FOREST", "1") != "1":
                 continue
             seconds[name] = round(timed(report, spark, root), 3)
         elif name in HEADLINE or os.environ.get("BENCH_ALL") == "1":
