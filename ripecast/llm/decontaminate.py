@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ripecast.llm import text
+from ripecast.llm.exchange import release
 
 SHARE = 0.2          # edits allowed per word of the item
 MIN_WORDS = 8
@@ -41,7 +42,7 @@ REPEATS = 16
 TARGET_RECALL = 0.95
 SEED = 5
 BLOCK_ITEM_BYTES = 32 << 20
-TEXT_BYTES = 12 << 20
+TEXT_BYTES = 3 << 20
 CHUNK = 1 << 17
 LEVELS = np.array([0.0025, 0.005, 0.01, 0.02, 0.04, 0.08, 0.16, 1.0])
 
@@ -238,6 +239,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, repeats:
             items = shared.value
             for t in text.merged(batches, TEXT_BYTES):
                 found = list(search(t, items))
+                release()
                 if found:
                     d, k, e, w = zip(*found, strict=True)
                     yield text.batch(

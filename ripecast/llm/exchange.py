@@ -13,6 +13,7 @@ spark.sql.shuffle.partitions, which is set to the size of the shuffle.
 
 from __future__ import annotations
 
+import ctypes
 import struct
 from collections.abc import Callable, Iterable, Iterator
 
@@ -30,7 +31,24 @@ ROW = T.StructType([
 ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("payload", pa.binary())])
 
 #: Text of one block, before any array of it: what a task holds at once.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers share an executor's memory, and idle ones would keep theirs."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def _trim_function():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # not glibc
+        return None
+
+
+_TRIM = _trim_function()
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -131,8 +149,7 @@ def exchange(
                 for bucket, payload in ask(t):
                     # A block's own notes get a bucket of their own, so that they are dealt like the others.
                     yield block, bucket if bucket >= 0 else -1 - block, payload
-                # The executor's memory is shared by its workers: what a block needed goes back at once.
-                pa.default_memory_pool().release_unused()
+                release()
         return rows_out(rows())
 
     def answering(table: pa.Table) -> pa.Table:
@@ -148,6 +165,7 @@ def exchange(
         else:
             known = table.filter(pc.invert(asking_blocks))["payload"].to_pylist()
             given = list(answer(payloads, known[0] if known else None))
+        release()
         return pa.Table.from_arrays([asked_rows["block"], asked_rows["bucket"], pa.array(given, pa.binary())], schema=ARROW)
 
     def settling(table: pa.Table) -> pa.Table:
@@ -157,7 +175,9 @@ def exchange(
                 notes = payload
             else:
                 answers[bucket] = payload
-        return pa.Table.from_batches(list(settle(notes, answers)), schema=arrow)
+        out = pa.Table.from_batches(list(settle(notes, answers)), schema=arrow)
+        release()
+        return out
 
     asked = docs.mapInArrow(asking, ROW)
     if beside is not None:

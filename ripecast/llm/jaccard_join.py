@@ -114,6 +114,7 @@ def token_sets(docs: DataFrame, size: int) -> DataFrame:
                 t["doc_id"].combine_chunks().take(pa.array(keep, pa.int64())), pa.array([len(sets[k]) for k in keep], pa.int32()),
                 pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary()), pa.array(raw, pa.binary()),
             ], ["doc_id", "n", "digest", "tokens"])
+            ex.release()
 
     return docs.mapInArrow(make, SETS)
 
@@ -272,6 +273,8 @@ def tree_join(groups: DataFrame, share: int) -> DataFrame:
         left, right = tree(i), tree(j)
         found = tree_links(left[0], right[0], left[1], right[1], share) if left and right else []
         a, b = zip(*found, strict=True) if found else ((), ())
+        del left, right, sets
+        ex.release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return groups.groupBy("kind", "token", "i", "j").applyInArrow(run, "a long, b long")

@@ -187,7 +187,7 @@ def filter_segments(docs: DataFrame) -> DataFrame:
                         packed[b] += [shorten(k[once]), shorten(k[~once]), c[~once].astype(np.uint32)]
                 for b in range(buckets):
                     yield 0, b, ex.pack(*packed[b])
-                pa.default_memory_pool().release_unused()
+                ex.release()
         return ex.rows_out(rows())
 
     def build(t: pa.Table) -> pa.Table:
@@ -202,6 +202,7 @@ def filter_segments(docs: DataFrame) -> DataFrame:
             found, place = np.unique(np.concatenate(keys), return_inverse=True)
             sums.append((found, np.bincount(place, np.concatenate(counts), len(found)).astype(np.int64)))
         bits = segment(*(np.concatenate([x[k] for x in sums]) for k in (0, 1)))
+        ex.release()
         return pa.table({"bucket": t["bucket"].slice(0, 1), "payload": pa.array([bits.tobytes()], pa.binary()),
                          "tokens": pa.array([int(sums[0][1].sum())], pa.int64()), "words": pa.array([len(sums[0][0])], pa.int64())})
 

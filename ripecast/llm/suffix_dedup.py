@@ -365,6 +365,9 @@ def repeated_windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
             where, start = where[gone], start[gone]
             order = np.lexsort((start, where))
             where, start = where[order], start[order]
+            if not len(start):
+                yield text.batch(MARKS, doc_id=[], digest=[], mark=[])
+                return
             new = np.ones(len(start), bool)
             new[1:] = (where[1:] != where[:-1]) | (start[1:] > start[:-1] + length)
             head = np.flatnonzero(new)
