@@ -104,3 +104,74 @@ def test_wrong_use(seasonal):
 def test_profile_feeds_the_same_forecast_as_the_dimension(seasonal):
     known = by(products.profile(seasonal), "product_id")
     assert {p: r["shelf_life_days"] for p, r in known.items()} == {f"P{p}": 4 + 3 * p for p in range(4)}
+
+
+MODELS = ("trend", "linear_regression", "random_forest", "pooled_linear_regression")
+
+
+@pytest.mark.parametrize("model_type", MODELS)
+@pytest.mark.parametrize("missing", ["a day", "a product", "all"])
+def test_null_prices(make_sales, model_type, missing):
+    data = []
+    for p in range(3):
+        for i in range(40):
+            gone = missing == "all" or p == 1 and (missing == "a product" or i == 7)
+            row = list(sale((dt.date(2024, 1, 1) + dt.timedelta(i)).isoformat(), f"P{p}", f"n{p}", "c", 5 + p + i % 7))
+            if gone:
+                row[5] = row[6] = row[7] = None
+            data.append(tuple(row))
+    sales = make_sales(data)
+    model = DemandModel(model_type, trees=2, partitions=4).train(sales)
+    got = rows(model.forecast_demand(sales, days_ahead=3))
+    assert len(got) == 9 and all(r["predicted_quantity"] is not None for r in got)
+    assert rows(model.metrics())[0]["n"] == 24
+    unpriced = sales.selectExpr("date", "product_id", "product_name", "category", "CAST(NULL AS DECIMAL(12,2)) AS unit_price", "shelf_life_days")
+    assert model.predict(unpriced).filter("prediction IS NULL").count() == 0
+
+
+@pytest.mark.parametrize("model_type", MODELS)
+def test_every_product_of_the_input_is_in_the_forecast(make_sales, make_inventory, model_type):
+    known = [sale(f"2024-01-{d:02}", p, quantity=d) for p in "ABC" for d in range(1, 21)]
+    more = make_sales(known + [sale("2024-01-05", "D", quantity=4)])
+    model = DemandModel(model_type, trees=2, partitions=4).train(make_sales(known))
+    got = rows(model.forecast_demand(more, days_ahead=2))
+    assert {(r["product_id"], r["predicted_quantity"] is None) for r in got} == {
+        ("A", False), ("B", False), ("C", False), ("D", model_type in ("trend", "linear_regression"))}
+    stock = rows(model.stock_projection(more, make_inventory([("2024-01-30", "D", 260, 7)])))
+    assert {r["product_id"] for r in stock} == {"A", "B", "C", "D"}
+
+
+@pytest.mark.parametrize("model_type", ["trend", "linear_regression"])
+def test_a_product_with_only_a_held_out_day_has_no_score(make_sales, model_type):
+    sales = make_sales([sale("2024-01-01", "A", quantity=5)]
+                       + [sale(f"2024-01-{d:02}", "B", quantity=d) for d in range(1, 21)])
+    got = by(DemandModel(model_type).train(sales).metrics("product_id"), "product_id")
+    assert got["A"]["n"] == 0 and got["A"]["mae"] is None and got["A"]["mape"] is None
+    assert got["B"]["n"] == 4 and got["B"]["mae"] is not None
+    pairs = evaluate.holdout_pairs(demand.product_daily(sales))
+    assert by(evaluate.metrics(pairs, "product_id"), "product_id")["A"]["mae"] is None
+
+
+def test_forest_does_not_depend_on_how_rows_are_spread(seasonal, spark):
+    def forecasts(sales):
+        model = DemandModel("random_forest", trees=3, partitions=6).train(sales)
+        return sorted(map(str, model.forecast_demand(seasonal, days_ahead=5).collect()))
+
+    want = forecasts(seasonal.coalesce(1))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in (2, 9):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        assert forecasts(seasonal.repartition(parts)) == want
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_ordering_keys_are_checked(spark):
+    from pyspark.sql import functions as F
+
+    from ripecast.functions import numeric
+    ok = spark.sql("SELECT DATE'2024-01-01' AS d, 5L AS t").select(numeric.row_order(F.col("d"), F.col("t")))
+    assert ok.count() == 1 and ok.first()[0] > 0
+    for bad in ("-1L", "70368744177664L"):
+        df = spark.sql(f"SELECT DATE'2024-01-01' AS d, {bad} AS t").select(numeric.row_order(F.col("d"), F.col("t")))
+        with pytest.raises(Exception, match="row order tie"):
+            df.collect()
