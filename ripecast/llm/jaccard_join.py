@@ -321,7 +321,8 @@ def join(docs: DataFrame, size: int = SIZE, share: int = SHARE) -> DataFrame:
     # One row per distinct set stands for it.
     firsts = materialize(sets.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("copies")).select(
         "digest", F.col("first.doc_id").alias("node"), F.col("first.row").alias("row")), "set-classes")
-    classes = of_ids(sets, firsts.select("row"), "row").select(F.col("doc_id").alias("node"), "tokens")
+    # Read four times below.
+    classes = materialize(of_ids(sets, firsts.select("row"), "row").select(F.col("doc_id").alias("node"), "tokens"), "classes")
     member = sets.select("doc_id", "digest").join(firsts.select("digest", "node"), "digest").select("doc_id", "node").filter(
         "doc_id <> node")
 

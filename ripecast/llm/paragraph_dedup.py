@@ -151,7 +151,8 @@ def repeats(docs: DataFrame, size: int = SIZE, share: int = SHARE, min_words: in
     found = materialize(described(again, size, min_words, bands, rows).withColumn("row", F.monotonically_increasing_id()), "paragraphs")
     firsts = materialize(found.groupBy("digest").agg(F.min(F.struct("doc_id", "par", "row")).alias("f"), F.count("*").alias("n")).select(
         "digest", F.col("f.row").alias("node"), "n"), "paragraph-classes")
-    classes = of_ids(found.select(F.col("row").alias("node"), "tokens", "bands"), firsts.select("node"), "node")
+    # Read four times below.
+    classes = materialize(of_ids(found.select(F.col("row").alias("node"), "tokens", "bands"), firsts.select("node"), "node"), "classes")
     meet = materialize(classes.select(F.explode("bands").alias("token"), "node"), "band-members")
     known, links = group_links(meet, classes.select("node", "tokens"), share)
     joined = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links))
