@@ -31,10 +31,16 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
 
 
-def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op4_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated lines, and passages inside longer lines or over several short ones."""
     return paragraph_dedup.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated lines alone, the first pass of op4_passage_dedup."""
+    return paragraph_dedup.line_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_sharding": op2_sharding,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_passage_dedup": op4_passage_dedup,
     "op4_paragraph_dedup": op4_paragraph_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_jaccard_join": op6_jaccard_join,
