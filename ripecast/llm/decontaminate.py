@@ -1,24 +1,18 @@
 """Benchmark items inside documents, also with a fifth of their words changed.
 
-Words are lower-cased and stripped of everything but letters and digits. Item and document windows of
-the item's length are embedded by a random walk over the words (CGK): at every step the current word is
-output, and a hashed coin for step and word says whether the walk moves on, so that both walks fall into step again after an
-inserted, lost or changed word, and edit distance becomes Hamming distance. REPEATS random walks with SAMPLES
-sampled steps each are the LSH: a window is a candidate for an item if one repetition agrees in all its
-samples. Candidates are verified by the exact edit distance over words (bit-parallel, free start and end in
-the window and its margins). The number of repetitions makes the expected recall at the largest allowed distance
-exceed TARGET_RECALL; an unchanged item always agrees.
-
-Before that, a filter without loss: a window within `edits` of an item misses at most `edits` of its words, so of
-any set of words it has at least as many as the item less `edits`. The set is, per item, the one among the
-rarest words of the vocabulary (LEVELS: their share of the table's words) that tells it best from other text,
-and then the item's own words.
+Words are lower-cased and stripped of everything but letters and digits. An item of n words may have `edits`, a share of n,
+changed. Cut into edits + 1 pieces, at least one of them stands unchanged in any stretch of text within that distance, so the
+places where a piece occurs, looked up by hash, lead to every match: recall is 1 for any length and kind of edit, and does not
+depend on how the documents are dealt. Candidates are the item's place around the piece, with a margin of `edits` words.
+
+Before the exact edit distance over words (bit-parallel, free start and end in the region), a filter without loss: a stretch
+within `edits` of an item misses at most `edits` of its words, so a region has at least as many of them as the item less `edits`.
 
 The benchmark is a stated query set against all documents. It goes to the tasks in blocks of at most BLOCK_ITEM_BYTES.
 
 Defined results: null or empty texts and items match nothing; items of fewer than MIN_WORDS words are not
 evidence and are not searched; an item that occurs several times in a document is one row, with the fewest
-edits and the earliest place; repeated rows give repeated rows; documents with a null id are searched and
+edits and, of the stretches with those, the one that ends first, the shortest of them; repeated rows give repeated rows; documents with a null id are searched and
 reported with that null; empty tables give no rows. Other columns are not read.
 """
 
@@ -37,14 +31,10 @@ from ripecast.llm.exchange import release
 
 SHARE = 0.2          # edits allowed per word of the item
 MIN_WORDS = 8
-SAMPLES = 3
-REPEATS = 16
-TARGET_RECALL = 0.95
-SEED = 5
+MOST_GRAM = 8         # words of a piece that are looked up
 BLOCK_ITEM_BYTES = 32 << 20
 TEXT_BYTES = 3 << 20
 CHUNK = 1 << 17
-LEVELS = np.array([0.0025, 0.005, 0.01, 0.02, 0.04, 0.08, 0.16, 1.0])
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType()),
@@ -61,79 +51,51 @@ def plain_words(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return hashes, codes[full], np.concatenate([[0], np.cumsum(full)])[offsets].astype(np.int64)
 
 
-def coins(words: np.ndarray, multiplier: np.uint64) -> np.ndarray:
-    """One hashed bit per word."""
-    return ((words * multiplier) >> np.uint64(63)).astype(np.int64)
-
-
-def walk(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, rolls: np.ndarray, wanted: np.ndarray | None = None):
-    """Embedded words at steps `at` of the walks through words[start:end]; a walk past its end gives 0.
-
-    With `wanted`, the value looked for at each sampled step, walks that don't agree stop there. Returns the
-    numbers of the walks that went through and their samples.
-    """
-    alive = np.arange(len(starts))
-    place, last = starts.copy(), ends
-    seen: list[np.ndarray] = []
-    for step in range(int(at[-1]) + 1):
-        now = np.where(place < last, words[np.minimum(place, len(words) - 1)], np.uint64(0))
-        if step in at:
-            if wanted is not None:
-                keep = now == wanted[len(seen)]
-                alive, place, last, now = alive[keep], place[keep], last[keep], now[keep]
-                seen = [s[keep] for s in seen]
-            seen.append(now)
-            if not len(alive):
-                return alive, [np.empty(0, np.uint64)] * len(at)
-        place = place + coins(now, rolls[step])
-    return alive, seen
-
-
 class Items:
     """One block of benchmark items, prepared for the tasks."""
 
-    def __init__(self, ids: list[int], texts: list[str | None], share: float, repeats: int, samples: int, seed: int, min_words: int):
+    def __init__(self, ids: list[int], texts: list[str | None], share: float, min_words: int):
         hashes, codes, offsets = plain_words(pa.array(texts, pa.string()))
         words = hashes[codes]
         self.ids, self.words = [], []
         for k, i in enumerate(ids):
             own = words[offsets[k]:offsets[k + 1]]
-            if len(own) >= min_words:
+            if len(own) >= max(min_words, 1):
                 self.ids.append(i)
                 self.words.append(own)
         self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.empty(0, np.uint64)
-        self.by_length: dict[int, list[int]] = {}
-        for k, w in enumerate(self.words):
-            self.by_length.setdefault(len(w), []).append(k)
-        self.edits = [int(share * len(w)) for w in self.words]
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.edits = np.array([min(int(share * len(w)), len(w) - 1) for w in self.words], np.int64)
         self.places = [np.searchsorted(self.vocabulary, w) for w in self.words]
-        self.column = {k: c for members in self.by_length.values() for c, k in enumerate(members)}
-        self.share, self.samples, self.repeats = share, samples, repeats
-        # Per length: repetitions of (sampled steps, coin multipliers, samples of every item).
-        self.walks: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for n, members in self.by_length.items():
-            rng = np.random.default_rng([seed, n])
-            joined = np.concatenate([self.words[k] for k in members])
-            starts = np.arange(len(members)) * n
-            runs = []
-            for r in range(repeats):
-                at = np.sort(rng.choice(2 * n, samples, replace=False))
-                rolls = text.odd(seed * 1009 + r, 2 * n)
-                _, seen = walk(joined, starts, starts + n, at, rolls)
-                runs.append((at, rolls, np.array(seen)))
-            self.walks[n] = runs
-        self.masks = [{} for _ in self.words]
-        for mask, w in zip(self.masks, self.words, strict=True):
-            for j, x in enumerate(w.tolist()):
-                mask[x] = mask.get(x, 0) | (1 << j)
-
-
-def best_edits(mask: dict[int, int], n: int, region: list[int]) -> int:
-    """Smallest edit distance between a pattern of n words and any stretch of the region."""
+        made: dict[int, list[tuple[int, int, int]]] = {}
+        for k, w in enumerate(self.words):
+            n, cuts = len(w), int(self.edits[k]) + 1
+            size = min(n // cuts, MOST_GRAM)
+            runs = text.shingle_hashes(w, size)
+            made.setdefault(size, []).extend((int(runs[j * n // cuts]), k, j * n // cuts) for j in range(cuts))
+        # Per size: distinct hashes of pieces, and where the items and places of each begin.
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size, rows in made.items():
+            rows.sort()
+            keys = np.array([r[0] for r in rows], np.uint64)
+            distinct, first = np.unique(keys, return_index=True)
+            self.grams[size] = (distinct, np.append(first, len(keys)), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+        self.masks = [mask_of(w.tolist()) for w in self.words]
+
+
+def mask_of(pattern: list[int]) -> dict[int, int]:
+    mask: dict[int, int] = {}
+    for j, x in enumerate(pattern):
+        mask[x] = mask.get(x, 0) | (1 << j)
+    return mask
+
+
+def best_end(mask: dict[int, int], n: int, region: list[int]) -> tuple[int, int]:
+    """Smallest edit distance between a pattern of n words and any stretch of the region, and the first end of such a stretch."""
     ones = (1 << n) - 1
     top = 1 << (n - 1)
-    plus, minus, score, best = ones, 0, n, n
-    for x in region:
+    plus, minus, score, best, end = ones, 0, n, n, 0
+    for at, x in enumerate(region, 1):
         eq = mask.get(x, 0)
         xv = eq | minus
         xh = (((eq & plus) + plus) ^ plus) | eq
@@ -147,8 +109,34 @@ def best_edits(mask: dict[int, int], n: int, region: list[int]) -> int:
         mh = (mh << 1) & ones
         plus = (mh | ~(xv | ph)) & ones
         minus = ph & xv
-        best = min(best, score)
-    return best
+        if score < best:
+            best, end = score, at
+    return best, end
+
+
+def best_edits(mask: dict[int, int], n: int, region: list[int]) -> int:
+    """Smallest edit distance between a pattern of n words and any stretch of the region."""
+    return best_end(mask, n, region)[0]
+
+
+def candidates(words: np.ndarray, offsets: np.ndarray, items: Items) -> np.ndarray:
+    """Item, document, and place at which the item would start, of every piece found; distinct, in order."""
+    found = []
+    for size, (distinct, first, item, shift) in items.grams.items():
+        runs = text.shingle_hashes(words, size)
+        at = np.minimum(np.searchsorted(distinct, runs), len(distinct) - 1)
+        spots = np.flatnonzero(distinct[at] == runs)
+        if not len(spots):
+            continue
+        # Not across two documents.
+        spots = spots[spots + size <= offsets[np.searchsorted(offsets, spots, side="right")]]
+        low, many = first[at[spots]], first[at[spots] + 1] - first[at[spots]]
+        entry = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+        owner = np.searchsorted(offsets, spots, side="right") - 1
+        found.append(np.stack([item[entry], np.repeat(owner, many), np.repeat(spots, many) - shift[entry]]))
+    if not found:
+        return np.empty((3, 0), np.int64)
+    return np.unique(np.concatenate(found, axis=1), axis=1)
 
 
 def search(t: pa.Table, items: Items) -> Iterator[tuple[int, int, int, int]]:
@@ -159,56 +147,40 @@ def search(t: pa.Table, items: Items) -> Iterator[tuple[int, int, int, int]]:
     at = np.minimum(np.searchsorted(items.vocabulary, hashes), len(items.vocabulary) - 1)  # place in the vocabulary
     known = items.vocabulary[at] == hashes
     words = np.where(known, hashes, np.uint64(1))[codes]  # words outside the vocabulary are all alike
-    # Rare words of the vocabulary, in this table, at several levels; a table's own frequencies serve as well as any others.
-    spots = at[codes][known[codes]]
-    freq = np.bincount(spots, minlength=len(items.vocabulary))
-    order = np.argsort(freq, kind="stable")
-    level = np.empty(len(order), np.int8)
-    level[order] = np.searchsorted(LEVELS, np.cumsum(freq[order]) / len(codes), side="left")
-    of_code = np.where(known, level[at], len(LEVELS)).astype(np.int8)[codes]
-    counts = [np.concatenate([[0], np.cumsum(of_code <= k, dtype=np.int32)]).astype(np.int32) for k in range(len(LEVELS))]
-    rates = [max(float(c[-1]) / len(codes), 1e-6) for c in counts]
     places = np.where(known, at, len(items.vocabulary))[codes]  # of every word; one past the end: not in the vocabulary
-    pairs: dict[tuple[int, int], list[int]] = {}
-    for k, own in enumerate(items.places):
-        n, edits = len(own), items.edits[k]
-        needs = np.cumsum(np.bincount(level[own], minlength=len(LEVELS))) - edits
-        rarity = max(range(len(LEVELS)), key=lambda x: (needs[x] - n * rates[x]) / (n * rates[x] + 1e-9) ** 0.5)
-        need, upto = needs[rarity], counts[rarity]
-        # Windows past the end of the table's words are cut there; those that reach into the next document only add candidates.
-        near = max(len(codes) - n, 0)
-        enough = np.concatenate([np.flatnonzero(upto[n:len(codes)] - upto[:near] >= need), np.arange(near, len(codes))])
+    item, doc, start = candidates(words, offsets, items)
+    regions: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    edges = np.searchsorted(item, np.arange(len(items.words) + 1))
+    for k in np.unique(item).tolist():
+        n, edits = int(items.sizes[k]), int(items.edits[k])
         mine = np.zeros(len(items.vocabulary) + 1, bool)
-        mine[own] = True
-        for low in range(0, len(enough), CHUNK):
-            starts = enough[low:low + CHUNK]
-            doc = np.searchsorted(offsets, starts, side="right") - 1
-            ends = np.minimum(starts + n, offsets[doc + 1])
-            hits = np.zeros(len(starts), np.int32)
-            for step in range(n):
-                there = starts + step
-                hits += mine[places[np.minimum(there, len(codes) - 1)]] & (there < ends)
+        mine[items.places[k]] = True
+        for a in range(edges[k], edges[k + 1], CHUNK):
+            z = min(a + CHUNK, edges[k + 1])
+            low = np.maximum(start[a:z] - edits, offsets[doc[a:z]])
+            high = np.minimum(start[a:z] + n + edits, offsets[doc[a:z] + 1])
+            hits = np.zeros(z - a, np.int32)
+            for step in range(n + 2 * edits):
+                there = low + step
+                hits += mine[places[np.minimum(there, len(codes) - 1)]] & (there < high)
             fits = hits >= n - edits
-            starts, doc, ends = starts[fits], doc[fits], ends[fits]
-            if not len(starts):
-                continue
-            for steps, rolls, samples in items.walks[n]:
-                wanted = samples[:, items.column[k]]
-                alive, seen = walk(words, starts, ends, steps, rolls, wanted)
-                for w in alive.tolist():
-                    pairs.setdefault((int(doc[w]), k), []).append(int(starts[w]))
-    for (d, k), starts in sorted(pairs.items()):
-        n, edits, mask = len(items.words[k]), items.edits[k], items.masks[k]
-        best, where, searched = n + 1, -1, -1
-        for s in sorted(set(starts)):
-            low, high = max(s - edits, int(offsets[d])), min(s + n + edits, int(offsets[d + 1]))
-            if s <= searched and best == 0:
-                continue
-            found = best_edits(mask, n, words[low:high].tolist())
+            for d, x, y in zip(doc[a:z][fits].tolist(), low[fits].tolist(), high[fits].tolist(), strict=True):
+                own = regions.setdefault((d, k), [])
+                if own and x <= own[-1][1]:
+                    own[-1] = (own[-1][0], max(y, own[-1][1]))
+                else:
+                    own.append((x, y))
+    for (d, k), own in sorted(regions.items()):
+        n, mask = len(items.words[k]), items.masks[k]
+        best, stop, low = n + 1, 0, 0
+        for x, y in own:
+            found, end = best_end(mask, n, words[x:y].tolist())
             if found < best:
-                best, where, searched = found, s - int(offsets[d]), s
-        if best <= edits:
-            yield d, k, best, where
+                best, stop, low = found, x + end, x
+        if best <= items.edits[k]:
+            # Backwards from the end of the stretch to its start.
+            _, length = best_end(mask_of(items.words[k][::-1].tolist()), n, words[low:stop][::-1].tolist())
+            yield d, k, best, stop - length - int(offsets[d])
 
 
 def item_blocks(benchmark: DataFrame, limit: int = BLOCK_ITEM_BYTES) -> Iterator[tuple[list[int], list[str]]]:
@@ -225,15 +197,15 @@ def item_blocks(benchmark: DataFrame, limit: int = BLOCK_ITEM_BYTES) -> Iterator
         yield ids, texts
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, repeats: int = REPEATS, samples: int = SAMPLES,
-          seed: int = SEED, min_words: int = MIN_WORDS, limit: int = BLOCK_ITEM_BYTES) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, min_words: int = MIN_WORDS,
+          limit: int = BLOCK_ITEM_BYTES) -> DataFrame:
     """(doc_id, item_id, edits, first_word, item_words) for every document and item found in it."""
     text.require(benchmark, "item_id", "text")
     rows = text.only(docs, "doc_id", "text").filter("text IS NOT NULL")
     spark = docs.sparkSession
     out = spark.createDataFrame([], SCHEMA)
     for ids, texts in item_blocks(benchmark, limit):
-        shared = spark.sparkContext.broadcast(Items(ids, texts, share, repeats, samples, seed, min_words))
+        shared = spark.sparkContext.broadcast(Items(ids, texts, share, min_words))
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
