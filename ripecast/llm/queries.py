@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripecast.llm import decontaminate, jaccard_join, language_id, lm_scoring, mixing, paragraph_dedup, quality_rules, sharding, suffix_dedup, url_filter
+from ripecast.llm import (
+    centroid_clustering, decontaminate, exact_dedup, importance_resampling, jaccard_join, language_id, lm_scoring, mixing,
+    paragraph_dedup, quality_rules, sharding, suffix_dedup, url_filter,
+)
 
 SHARDS = 40
 
@@ -104,6 +107,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(captures(pages), list_changes(pages)).drop("url")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance_resampling.resample(docs, table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_sharding": op2_sharding,
@@ -116,4 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
