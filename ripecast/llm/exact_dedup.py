@@ -94,7 +94,8 @@ def _settled(rows: DataFrame) -> DataFrame:
     groups = by_id.groupBy(F.col("text_sha256").alias("__digest")).agg(
         F.sum("n").alias("group_size"), F.min("doc_id").alias("keep_id"),
         F.expr("coalesce(min_by(row, doc_id) FILTER (WHERE doc_id IS NOT NULL), min(row))").alias("__keep"))
-    met = stored.join(groups, F.col("text_sha256") == F.col("__digest"))
+    # Stored, so that the join's sides are plain exchanges, of which Spark splits a hot digest's.
+    met = stored.join(materialize(groups, "digest-groups"), F.col("text_sha256") == F.col("__digest"))
     return met.withColumn("kept", F.col("__row") == F.col("__keep")).drop("__row", "__keep", "__digest")
 
 
