@@ -1,8 +1,7 @@
 """Times the headline reports over $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
 Each report runs once to warm up and three times for the median, into a sink that discards rows;
-each learned model runs twice and the second run counts; the random forest runs once, cold. BENCH_ALL=1 times every
-report, BENCH_FOREST=0 leaves the forest out.
+each learned model runs twice and the second run counts. BENCH_ALL=1 times every report.
 """
 
 from __future__ import annotations
@@ -24,10 +23,9 @@ HEADLINE = (
     "product_daily", "date_features", "label_encode", "train_test_split", "future_frame",
     "forecast_trend", "forecast_summary", "history_plus_forecast", "eval_holdout", "eval_metrics",
     "stock_projection", "reorder_plan", "price_optimization", "price_comparison",
-    "forecast_linear", "trend_save_load", "model_save_load",
+    "forecast_linear", "forecast_rf", "trend_save_load", "model_save_load",
 )
-LEARNED = ("forecast_linear", "eval_linear", "trend_save_load", "model_save_load")
-FOREST = "forecast_rf"
+LEARNED = ("forecast_linear", "eval_linear", "forecast_rf", "eval_rf", "forest_trees", "trend_save_load", "model_save_load")
 RUNS = 3
 
 
@@ -51,11 +49,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     seconds: dict[str, float] = {}
     for name, report in catalog.reports().items():
-        if name == FOREST:
-            if os.environ.get("BENCH_FOREST", "1") != "1":
-                continue
-            seconds[name] = round(timed(report, spark, root), 3)
-        elif name in HEADLINE or os.environ.get("BENCH_ALL") == "1":
+        if name in HEADLINE or os.environ.get("BENCH_ALL") == "1":
             timed(report, spark, root)
             runs = 1 if name in LEARNED else RUNS
             seconds[name] = round(statistics.median(timed(report, spark, root) for _ in range(runs)), 3)

@@ -1,25 +1,24 @@
-"""Random forest and linear regression pooled over all products, on Spark ML."""
+"""Models pooled over all products: the random forest, and linear regression on Spark ML."""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ripecast.operators import forest
 from ripecast.operators.features import FEATURES, TARGET
 from ripecast.sources.files import materialize
 
 # Hyperparameters of the forest.
 TREES = 100
-MAX_DEPTH = 10
-MIN_LEAF = 2
+LIMITS = forest.Limits(depth=10, min_split=5, min_leaf=2)
 SEED = 42
-MAX_BINS = 366  # one bin per day of the year
 
-# Bootstrap samples follow partitions, so their number is part of the model: never taken from cores, files
-# or rows. Raise it with the data, to about 128 MB of training rows per partition.
+# The linear fit's sums are floating point and follow partitions, so their number is part of the model: never taken from
+# cores, files or rows. Raise it with the data, to about 128 MB of training rows per partition.
 PARTITIONS = 64
 
 # One forest serves all products, so it also gets the product's level.
@@ -40,52 +39,28 @@ def product_level(train: DataFrame, key: str) -> DataFrame:
     )
 
 
-def statistics_memory_mb(spark: SparkSession) -> int:
-    """Memory one task may use for split statistics: an eighth of its share of the executor's heap.
-
-    Every running task holds that much, so a fixed size would overrun small executors, while a
-    small one costs passes over the rows on large ones.
-    """
-    context = spark.sparkContext
-    if context.master.startswith("local"):
-        heap, cores = spark._jvm.java.lang.Runtime.getRuntime().maxMemory() >> 20, context.defaultParallelism
-    else:
-        heap = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsMb(
-            spark.conf.get("spark.executor.memory", "1g"))
-        cores = int(spark.conf.get("spark.executor.cores", "1"))
-    return int(min(max(heap // cores // 8, 16), 1024))
-
-
-def estimator(spark: SparkSession, model_type: str = "random_forest", trees: int = TREES) -> Pipeline:
-    check_model_type(model_type)
-    assemble = VectorAssembler(inputCols=list(POOLED_FEATURES), outputCol="features")
-    if model_type == "linear_regression":
-        regressor = LinearRegression(featuresCol="features", labelCol=TARGET, solver="normal")
-    else:
-        regressor = RandomForestRegressor(
-            featuresCol="features", labelCol=TARGET, numTrees=trees, maxDepth=MAX_DEPTH,
-            minInstancesPerNode=MIN_LEAF, featureSubsetStrategy="all", maxBins=MAX_BINS,
-            seed=SEED, maxMemoryInMB=statistics_memory_mb(spark),
-        )
-    return Pipeline(stages=[assemble, regressor])
-
-
 def fit(train: DataFrame, model_type: str = "random_forest", trees: int = TREES,
-        partitions: int = PARTITIONS) -> PipelineModel:
-    """Trains on rows that have POOLED_FEATURES and the target.
+        partitions: int = PARTITIONS) -> forest.Forest | PipelineModel:
+    """Trains on rows that have POOLED_FEATURES, the target, product_id and date.
 
-    Training passes over the rows many times, so they are stored first: a lost executor then
-    re-reads its files instead of the sales. They are dealt by their values over `partitions` and
-    sorted there, so that the same rows give the same model on any number of cores.
+    The forest draws rows by their product and date. The linear fit reads its rows more than once, so they are stored first: a
+    lost executor then re-reads its files instead of the sales. They are dealt by their values over
+    `partitions` and sorted there, so that the same rows give the same model on any number of cores.
     """
+    check_model_type(model_type)
+    if model_type == "random_forest":
+        return forest.fit(train, POOLED_FEATURES, TARGET, ("product_id", "date"), trees, SEED, LIMITS)
     columns = (*POOLED_FEATURES, TARGET)
     stored = materialize(train.select(*(F.col(c).cast("double") for c in columns)), "training-rows")
     dealt = stored.repartition(partitions, *columns).sortWithinPartitions(*columns)
-    return estimator(train.sparkSession, model_type, trees).fit(dealt)
+    assemble = VectorAssembler(inputCols=list(POOLED_FEATURES), outputCol="features")
+    return Pipeline(stages=[assemble, LinearRegression(featuresCol="features", labelCol=TARGET, solver="normal")]).fit(dealt)
 
 
-def predict(model: PipelineModel | None, df: DataFrame) -> DataFrame:
+def predict(model: forest.Forest | PipelineModel | None, df: DataFrame) -> DataFrame:
     """Adds `prediction` to rows that have POOLED_FEATURES."""
     if model is None:
         raise ValueError("untrained model: fit it before predicting")
+    if isinstance(model, forest.Forest):
+        return model.predict(df)
     return model.transform(df).drop("features")

@@ -430,6 +430,17 @@ def forecast_rf(t: StarTables) -> DataFrame:
     return _trained(t, "random_forest").forecast_demand()
 
 
+@report
+def forest_trees(t: StarTables) -> DataFrame:
+    """Every node of the fitted forest."""
+    return _trained(t, "random_forest").tree_nodes()
+
+
+@report
+def eval_rf(t: StarTables) -> DataFrame:
+    return _trained(t, "random_forest").metrics()
+
+
 @report
 def eval_linear(t: StarTables) -> DataFrame:
     return _trained(t, "linear_regression").metrics()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ripecast.functions import policy
 from ripecast.operators import (
-    demand, evaluate, explore, features, forecast, linear, pooled, pricing, products, replenish, trend,
+    demand, evaluate, explore, features, forecast, forest, linear, pooled, pricing, products, replenish, trend,
 )
 from ripecast.sources.files import materialize, shared_path
 
@@ -27,7 +27,7 @@ class DemandModel:
 
     `fit_on="train"` leaves the held-out fifth of the days out of the fit, `"all"` uses every day.
     Missing prices of a day are filled with the product's mean price, then with the mean over all products.
-    `partitions` is the number of bootstrap parts of the pooled models, saved with the model.
+    `partitions` is the number of parts that the pooled linear fit adds up, saved with the model.
     """
 
     def __init__(self, model_type: str = "random_forest", fit_on: str = "train", trees: int = pooled.TREES,
@@ -38,7 +38,7 @@ class DemandModel:
         self.model_type, self.fit_on, self.trees, self.partitions = model_type, fit_on, trees, partitions
         self._per_product: DataFrame | None = None    # coefficients, or codes and level, by product_id
         self._codes: DataFrame | None = None
-        self._pipeline: PipelineModel | None = None
+        self._pipeline: forest.Forest | PipelineModel | None = None
         self._test: DataFrame | None = None
         self._fitted: DataFrame | None = None
         self._profile: DataFrame | None = None
@@ -106,6 +106,13 @@ class DemandModel:
         self._require_trained()
         return self._profile
 
+    def tree_nodes(self) -> DataFrame:
+        """The forest's nodes: tree, node, feature and threshold (null in a leaf), rows drawn and their mean."""
+        self._require_trained()
+        if self.model_type != "random_forest":
+            raise ValueError(f"a {self.model_type} model has no trees")
+        return self._pipeline.table
+
     def fitted_days(self) -> DataFrame:
         """The days a per-product model was fitted on, with features, quantity and prediction."""
         self._require_trained()
@@ -180,6 +187,9 @@ class DemandModel:
             known = known.withColumn("current_stock", F.lit(level).cast("bigint"))
         if base_price is not None:
             known = known.withColumn("base_price", F.lit(float(base_price)))
+        if self.model_type == "random_forest":
+            # A row per product, dealt anew: walking the trees costs more than moving it, and days follow their product.
+            known = known.repartition(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), "product_id")
         days = self._score(forecast.future_days(known, days_ahead))
         return forecast.with_intervals(days, F.col("prediction"))
 
@@ -233,7 +243,10 @@ class DemandModel:
         self._per_product.write.parquet(f"{path}/per_product")
         if self.model_type in POOLED:
             self._codes.write.parquet(f"{path}/codes")
-            self._pipeline.write().save(f"{path}/pipeline")
+            if self.model_type == "random_forest":
+                self._pipeline.table.write.parquet(f"{path}/trees")
+            else:
+                self._pipeline.write().save(f"{path}/pipeline")
         about.write.json(f"{path}/about")
 
     @classmethod
@@ -243,7 +256,10 @@ class DemandModel:
         loaded._per_product = spark.read.parquet(f"{path}/per_product")
         if loaded.model_type in POOLED:
             loaded._codes = spark.read.parquet(f"{path}/codes")
-            loaded._pipeline = PipelineModel.load(f"{path}/pipeline")
+            if loaded.model_type == "random_forest":
+                loaded._pipeline = forest.Forest(spark.read.schema(forest.TREES).parquet(f"{path}/trees"), pooled.POOLED_FEATURES)
+            else:
+                loaded._pipeline = PipelineModel.load(f"{path}/pipeline")
         return loaded
 
 

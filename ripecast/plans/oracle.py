@@ -6,6 +6,8 @@ first day, ranks from window functions over everything, first rows from tuple or
 
 from __future__ import annotations
 
+import math
+
 PRODUCT_ID = (
     "concat('P', lpad(CAST({k} AS VARCHAR), greatest(9, length(CAST({k} AS VARCHAR)))::INT, '0'))"
 )
@@ -242,6 +244,98 @@ summary AS (
 )"""
 
 
+FOREST_FEATURES = (
+    "product_id_encoded", "product_name_encoded", "category_encoded", "unit_price", "month", "day", "day_of_week", "quarter",
+    "day_of_year", "is_weekend", "is_summer", "is_winter", "is_spring", "is_fall", "shelf_life_days", "product_mean_quantity")
+
+
+def _features(day: str) -> str:
+    return f"""[CAST(f AS DOUBLE) for f in [pid, pname, pcat, unit_price, month({day}), day({day}), isodow({day}) - 1, quarter({day}),
+      dayofyear({day}), CAST(isodow({day}) >= 6 AS INT), CAST(month({day}) IN (6, 7, 8) AS INT), CAST(month({day}) IN (12, 1, 2) AS INT),
+      CAST(month({day}) IN (3, 4, 5) AS INT), CAST(month({day}) IN (9, 10, 11) AS INT), shelf_life_days, level]]"""
+
+
+def _forest(trees: int = 100, depth: int = 10, bins: int = 64) -> str:
+    """The same forest grown in SQL, a level at a time over rows in long form."""
+    p, steps, total = math.exp(-1), [], 0.0
+    for k in range(1, 14):
+        total, p = total + p, p / k
+        steps.append(int(total * 2**32))
+    n_drawn = " + ".join(f"CAST(u >= {x} AS INT)" for x in steps if x < 2**32 - 1)
+    wide = ", ".join(f"b{f}" for f in range(len(FOREST_FEATURES)))
+    levels = []
+    for d in range(depth + 1):
+        levels.append(f"""
+    total_{d} AS MATERIALIZED (SELECT t, node, sum(w) AS n, sum(wy) AS s FROM at_{d} GROUP BY 1, 2)""")
+        if d == depth:
+            break
+        sums = " UNION ALL ".join(
+            f"SELECT t, node, {f} AS f, b{f} AS b, sum(w) AS n, sum(wy) AS s FROM at_{d} GROUP BY ALL" for f in range(len(FOREST_FEATURES)))
+        picked = "CASE f " + " ".join(f"WHEN {f} THEN b{f}" for f in range(len(FOREST_FEATURES))) + " END"
+        levels.append(f"""
+    left_{d} AS (
+      SELECT t, node, f, b, sum(n) OVER side AS nl, sum(s) OVER side AS sl
+      FROM ({sums}) WINDOW side AS (PARTITION BY t, node, f ORDER BY b)),
+    gain_{d} AS (
+      SELECT t, node, f, b, sl * sl / nl + (s - sl) * (s - sl) / (n - nl) AS gain, s * s / n AS whole
+      FROM left_{d} JOIN total_{d} USING (t, node) WHERE nl >= 2 AND n - nl >= 2 AND n >= 5),
+    split_{d} AS MATERIALIZED (
+      SELECT t, node, best.f AS f, best.b AS b FROM (
+        SELECT t, node, min({{'g': -gain, 'f': f, 'b': b}}) AS best FROM gain_{d} WHERE gain > whole + 1e-12 * abs(whole) GROUP BY 1, 2)),
+    at_{d + 1} AS MATERIALIZED (
+      SELECT t, CAST(2 * node + CAST({picked} > b AS INT) AS INT) AS node, w, wy, {wide} FROM at_{d} JOIN split_{d} USING (t, node))""")
+    nodes = " UNION ALL ".join(
+        f"SELECT t, node, f, b, n, s FROM total_{d} LEFT JOIN split_{d} USING (t, node)" if d < depth
+        else f"SELECT t, node, NULL, NULL, n, s FROM total_{d}" for d in range(depth + 1))
+    return DAILY + SPLIT + f""",
+    parts AS (
+      SELECT {PRODUCT_ID.format(k='p_partkey')} AS product_id, p_name AS product_name, p_type AS category,
+        CAST(3 + p_size % 13 AS INT) AS shelf_life_days, CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE) AS unit_price,
+      FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)),
+    {_codes('parts')},
+    levels AS (SELECT product_id, CAST(sum(quantity_sold) AS DOUBLE) / count(*) AS level FROM split WHERE is_test = 0 GROUP BY 1),
+    known AS (
+      SELECT product_id, parts.product_name, shelf_life_days, unit_price, a.code AS pid, b.code AS pname, c.code AS pcat,
+        coalesce(level, (SELECT avg(level) FROM levels)) AS level
+      FROM parts LEFT JOIN levels USING (product_id)
+      JOIN codes a ON a.column_name = 'product_id' AND a.value = product_id
+      JOIN codes b ON b.column_name = 'product_name' AND b.value = parts.product_name
+      JOIN codes c ON c.column_name = 'category' AND c.value = parts.category),
+    train AS MATERIALIZED (
+      SELECT CAST(row_number() OVER () AS INT) AS rid, quantity_sold AS y, {_features('date')} AS x,
+        CAST('0x' || substr(md5(concat('draw|', product_id, '|', CAST(date AS VARCHAR))), 1, 15) AS BIGINT) AS seed
+      FROM split JOIN known USING (product_id) WHERE is_test = 0),
+    spots AS (
+      SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY v) AS rn, count(*) OVER (PARTITION BY f) AS m
+      FROM (SELECT DISTINCT f, x[f + 1] AS v FROM (SELECT x FROM train ORDER BY seed, x LIMIT 20000), range({len(FOREST_FEATURES)}) r(f))),
+    edges AS MATERIALIZED (
+      SELECT f, coalesce(list(v ORDER BY v) FILTER (
+        list_contains([i * m // least(m, {bins}) for i in range(1, least(m, {bins}))], rn)), []) AS e FROM spots GROUP BY f),
+    binned AS MATERIALIZED (
+      SELECT rid, """ + ", ".join(f"any_value(b) FILTER (f = {f}) AS b{f}" for f in range(len(FOREST_FEATURES))) + f"""
+      FROM (SELECT rid, f, CAST(len(list_filter(e, lambda z: z < x[f + 1])) AS TINYINT) AS b FROM train CROSS JOIN edges) GROUP BY rid),
+    factors AS (
+      SELECT CAST(t AS INT) AS t, 2 * CAST(CAST('0x' || substr(md5('42:' || t), 1, 15) AS BIGINT) AS HUGEINT) + 1 AS factor FROM range({trees}) r(t)),
+    at_0 AS MATERIALIZED (
+      SELECT t, 1 AS node, CAST(w AS DOUBLE) AS w, CAST(w * y AS DOUBLE) AS wy, {wide} FROM (
+        SELECT t, rid, y, {n_drawn} AS w FROM (
+          SELECT t, rid, y, CAST(CAST(seed AS HUGEINT) * factor % 18446744073709551616 // 4294967296 AS BIGINT) AS u FROM train CROSS JOIN factors)) JOIN binned USING (rid)
+      WHERE w > 0),{",".join(levels)},
+    trees AS MATERIALIZED (
+      SELECT t AS tree, node, f, e[b + 1] AS threshold, CAST(n AS BIGINT) AS n, s / n AS value
+      FROM ({nodes}) LEFT JOIN edges USING (f))"""
+
+
+def _walked(rows: str, depth: int = 10) -> str:
+    """The trees' mean for rows (k, x), walked step by step."""
+    return f""",
+    step_0 AS (SELECT k, x, tree, 1 AS node FROM ({rows}) CROSS JOIN (SELECT DISTINCT tree FROM trees)),""" + ",".join(f"""
+    step_{d + 1} AS (
+      SELECT k, x, tree, CASE WHEN f IS NULL THEN node WHEN x[f + 1] > threshold THEN 2 * node + 1 ELSE 2 * node END AS node
+      FROM step_{d} JOIN trees USING (tree, node))""" for d in range(depth)) + f""",
+    guessed AS (SELECT k, avg(value) AS p FROM step_{depth} JOIN trees USING (tree, node) GROUP BY k)"""
+
+
 def statements() -> dict[str, str]:
     w = "WITH "
     forecast_rows = w + _forecast(30) + f" SELECT {FORECAST_COLUMNS} FROM forecast"
@@ -422,6 +516,22 @@ def statements() -> dict[str, str]:
         "linear_certificate": w + DAILY + """
           SELECT product_id, count(*) AS n_days, TRUE AS is_least_squares, CAST(30 AS BIGINT) AS n_forecast_days
           FROM daily GROUP BY product_id""",
+        "forest_trees": w + _forest() + f"""
+          SELECT tree, node, {list(FOREST_FEATURES)}[f + 1] AS feature, threshold, n, value FROM trees""",
+        "forecast_rf": w + _forest() + """,
+          asked AS (
+            SELECT row_number() OVER () AS k, product_id, known.product_name, shelf_life_days, day, """ + _features("day") + """ AS x
+            FROM (SELECT product_id, max(date) AS last_date FROM daily GROUP BY 1) JOIN known USING (product_id),
+              LATERAL (SELECT last_date + CAST(h AS INT) AS day FROM range(1, 31) r(h)))""" + _walked("SELECT k, x FROM asked") + """
+          SELECT strftime(day, '%Y-%m-%d') AS date, product_id, product_name, greatest(0, CAST(round_even(p, 0) AS BIGINT)) AS predicted_quantity,
+            greatest(0, CAST(round_even(p * CASE WHEN shelf_life_days < 7 THEN 0.7::DOUBLE ELSE 0.8::DOUBLE END, 0) AS BIGINT)) AS confidence_interval_lower,
+            CAST(round_even(p * CASE WHEN shelf_life_days < 7 THEN 1.3::DOUBLE ELSE 1.2::DOUBLE END, 0) AS BIGINT) AS confidence_interval_upper,
+            shelf_life_days
+          FROM asked JOIN guessed USING (k)""",
+        "eval_rf": w + _forest() + """,
+          asked AS (SELECT row_number() OVER () AS k, quantity_sold, """ + _features("date") + """ AS x
+            FROM split JOIN known USING (product_id) WHERE is_test = 1)""" + _walked("SELECT k, x FROM asked") + """,
+          pairs AS (SELECT CAST(quantity_sold AS DOUBLE) AS actual, p AS predicted FROM asked JOIN guessed USING (k))""" + _metrics(""),
         "save_load_certificate": w + DAILY + """
           SELECT DISTINCT product_id, CAST(30 AS BIGINT) AS n_days, CAST(30 AS BIGINT) AS n_equal FROM daily""",
         "eval_metrics": w + PAIRS + _metrics(""),

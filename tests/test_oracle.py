@@ -41,7 +41,7 @@ def test_matches_sql(spark, db, name):
 
 def test_only_learned_models_lack_sql():
     assert set(catalog.reports()) - set(oracle.statements()) == {
-        "forecast_linear", "forecast_rf", "eval_linear", "model_save_load",
+        "forecast_linear", "eval_linear", "model_save_load",
     }
 
 
