@@ -228,15 +228,13 @@ def stock_latest(t: StarTables) -> DataFrame:
 @report
 def calendar_spine(t: StarTables) -> DataFrame:
     """Every product on every day from the first sale to the last, summed up by month beside what was sold."""
-    daily = _daily_by_id(t)
+    facts = t.facts()
     # One row.
-    first, last = daily.agg(F.min("date"), F.max("date")).first()
+    first, last = facts.filter(F.col(KEY).isNotNull()).agg(F.min("date"), F.max("date")).first()
     if first is None:
         first = last = dt.date(1970, 1, 1)
-    spine = products.calendar_spine(t.products(), first, last).join(daily, ["product_id", "date"], "left")
-    return spine.groupBy("product_id", F.trunc("date", "month").alias("month"), "season").agg(
-        F.count("*").alias("n_days"), F.sum("is_weekend").alias("n_weekend_days"),
-        F.count("quantity_sold").alias("n_sale_days"), F.coalesce(F.sum("quantity_sold"), F.lit(0)).alias("quantity_sold"))
+    months = products.calendar_by_month(t.products().select(KEY, "product_id"), facts, first, last, KEY)
+    return months.select("product_id", "month", "season", "n_days", "n_weekend_days", "n_sale_days", "quantity_sold")
 
 
 @report

@@ -67,3 +67,27 @@ def test_row_level_aggregates_hash(spark, name):
     plan = plan_of(contract.queries()[name](spark, TESTDATA))
     below_scan_exchange = plan[plan.rindex("Exchange hashpartitioning"):]
     assert "SortAggregate" not in below_scan_exchange
+
+
+def test_calendar_has_no_row_per_product_and_day(spark, no_broadcast):
+    plan = plan_of(contract.queries()["calendar_spine"](spark, TESTDATA))
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    # Sales by (product, month), and the spine's months to them.
+    assert len(exchanges) == 2 and all("date" not in e for e in exchanges)
+    assert "interval 1 day" not in plan.lower()
+
+
+def test_months_count_the_days_of_the_calendar(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from ripecast.operators import products
+    one = spark.sql("SELECT 'A' AS product_id")
+    for start, end in (((2023, 1, 31), (2024, 3, 1)), ((1969, 11, 15), (1970, 1, 5)), ((2024, 2, 29), (2024, 2, 29))):
+        start, end = dt.date(*start), dt.date(*end)
+        want = products.calendar_spine(one, start, end).groupBy(F.trunc("date", "month").alias("month"), "season").agg(
+            F.count("*").alias("n_days"), F.sum("is_weekend").alias("n_weekend_days"))
+        columns = ["month", "season", "n_days", "n_weekend_days"]
+        got = products.calendar_months(one, start, end)
+        assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
