@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ripecast.functions import labels
 from ripecast.functions.numeric import ratio, sum_or_zero
+from ripecast.operators import sketches
 
 
 def _margin() -> F.Column:
@@ -97,12 +98,13 @@ def top_products(sales: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
-def overview(sales: DataFrame, sold: DataFrame | None = None) -> DataFrame:
+def overview(sales: DataFrame, sold: DataFrame | None = None, approximate: bool = False) -> DataFrame:
     """All eight headline figures in one row, from two passes over the sales.
 
     The first pass keeps additive measures per day, category and season; everything but the
     product count follows from that small table. `sold` is any table with the ids of the products
-    sold, if there is one that is cheaper to count than `sales`.
+    sold, if there is one that is cheaper to count than `sales`. With `approximate` products are counted by a sketch of
+    fixed size instead of by gathering every id, within `sketches.bound()`.
     """
     cube = sales.groupBy("date", "category", "season").agg(
         F.count("*").alias("n"),
@@ -138,7 +140,8 @@ def overview(sales: DataFrame, sold: DataFrame | None = None) -> DataFrame:
             "season", F.when(season, F.struct(-F.coalesce(F.col("revenue"), F.lit(0)), F.col("season")))
         ).alias("peak_season"),
     )
-    products = (sales if sold is None else sold).agg(F.count_distinct("product_id").alias("total_products"))
+    count = F.hll_sketch_estimate(F.hll_sketch_agg("product_id", F.lit(sketches.LG_K))) if approximate else F.count_distinct("product_id")
+    products = (sales if sold is None else sold).agg(count.alias("total_products"))
     both = figures.unionByName(products, allowMissingColumns=True)
     merged = both.agg(*(F.max(c).alias(c) for c in both.columns))
     return merged.fillna(labels.NOT_AVAILABLE, ["top_category", "peak_season"])

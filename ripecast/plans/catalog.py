@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ripecast.functions import calendar
 from ripecast.operators import (
-    demand, evaluate, explore, features, forecast, kpis, pricing, products, replenish, trend,
+    demand, evaluate, explore, features, forecast, kpis, pricing, products, replenish, sketches, trend,
 )
 from ripecast.plans import model
 from ripecast.sources import contracts, files
@@ -223,6 +223,20 @@ def stock_latest(t: StarTables) -> DataFrame:
     return _stocked(t).select("product_id", "current_stock")
 
 
+@report
+def approx_products(t: StarTables) -> DataFrame:
+    """Products sold per category and month, exactly, and whether the estimate from merged daily sketches is within its bound."""
+    sold = t.facts().groupBy("date", KEY).agg(F.count("*").alias("n")).join(t.products().select(KEY, "category"), KEY)
+    month = F.trunc("date", "month").alias("month")
+    daily = sketches.by_day(sold, KEY)
+    estimates = sketches.estimated(sketches.merged(daily, "category", month))
+    exact = sold.groupBy("category", month).agg(F.countDistinct(KEY).alias("n_products"))
+    off = F.abs(F.col("approx_distinct") - F.col("n_products"))
+    return exact.join(estimates, ["category", "month"]).select(
+        "category", "month", "n_products",
+        (off <= F.greatest(F.lit(1.0), F.col("n_products") * sketches.bound())).alias("within_bound"))
+
+
 # -- calendar and measures -----------------------------------------------------------------
 
 @report

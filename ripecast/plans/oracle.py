@@ -454,6 +454,9 @@ def statements() -> dict[str, str]:
                  count(*) AS n_days, CAST(sum(CAST(isodow(s.date) >= 6 AS INT)) AS BIGINT) AS n_weekend_days,
                  count(quantity_sold) AS n_sale_days, CAST(coalesce(sum(quantity_sold), 0) AS BIGINT) AS quantity_sold
           FROM spine s LEFT JOIN daily USING (product_id, date) GROUP BY ALL""",
+        "approx_products": w + SALES + """
+          SELECT category, CAST(date_trunc('month', date) AS DATE) AS month, count(DISTINCT product_id) AS n_products,
+                 TRUE AS within_bound FROM sales GROUP BY 1, 2""",
         "climate_season": w + SALES + """
           SELECT date, season, is_weekend, count(*) AS n_rows, CAST(sum(quantity_sold) AS BIGINT) AS quantity_sold
           FROM sales GROUP BY ALL""",
