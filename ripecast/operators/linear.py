@@ -1,77 +1,98 @@
 """Least squares on the calendar, price and shelf-life features, one model per product.
 
-A single product's features are collinear: price and shelf life seldom move, the season flags
-add up to 1. The minimum-norm solution is the one wanted, and SQL has no expression for it, so
-the solving step is vectorised numpy over Arrow batches, many products at a time. A product's
-days travel as one array, at most a calendar's worth.
+A single product's features are collinear: price and shelf life seldom move, the season flags add up to 1. The
+solution wanted is the one with the smallest norm. A product's days leave as sums of products of two columns, which combine
+map-side and are whole numbers but for the price; the rest is arithmetic on one row per product, as array expressions:
+
+1. Pivoted Cholesky elimination of the centred sums G gives columns L with G = L L' and as many of them as G has independent
+   columns, and u with b = L u.
+2. Elimination of the small system (L' L) v = u gives the coefficients L v: they lie in the row space of the features, so no
+   other solution has a smaller norm.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ripecast.operators.features import PRODUCT_FEATURES, TARGET, with_calendar
 
-# Ship the solver with the job, so that executors need numpy and pyarrow but not this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-RELATIVE_CUTOFF = 1e-10  # singular values below this share of a product's largest are rounding noise
-
-
-def _min_norm(rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients and intercepts for consecutive groups of rows; the last column is the target."""
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    # Measured from a group's first row, a constant column is exactly zero and stays so.
-    base = rows[starts]
-    offsets = rows - np.repeat(base, sizes, axis=0)
-    means = np.add.reduceat(offsets, starts, axis=0) / sizes[:, None]
-    centred = offsets - np.repeat(means, sizes, axis=0)
-    means += base
-    coefficients = np.empty((len(sizes), rows.shape[1] - 1))
-    # Groups of similar size are decomposed together; rows of zeros fill them up and change nothing.
-    size_class = np.ceil(np.log2(sizes)).astype(int)
-    for c in np.unique(size_class):
-        members = np.flatnonzero(size_class == c)
-        height = sizes[members].max()
-        place = starts[members, None] + np.arange(height)
-        filled = np.arange(height) < sizes[members, None]
-        block = np.where(filled[:, :, None], centred[np.where(filled, place, 0)], 0.0)
-        u, values, vt = np.linalg.svd(block[:, :, :-1], full_matrices=False)
-        kept = values > RELATIVE_CUTOFF * np.maximum(values[:, :1], 1e-300)
-        inverse = np.where(kept, 1.0 / np.where(kept, values, 1.0), 0.0)
-        projected = np.einsum("gri,gr->gi", u, block[:, :, -1]) * inverse
-        coefficients[members] = np.einsum("gij,gi->gj", vt, projected)
-    intercepts = means[:, -1] - np.einsum("gi,gi->g", coefficients, means[:, :-1])
-    return coefficients, intercepts
-
-
-def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        days = batch.column("days")
-        sizes = np.diff(days.offsets.to_numpy())
-        flat = days.flatten().flatten().to_numpy(zero_copy_only=False)
-        rows = flat.reshape(int(sizes.sum()), -1)
-        coefficients, intercepts = _min_norm(rows, sizes)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array(list(coefficients), pa.list_(pa.float64())),
-                pa.array(intercepts, pa.float64()),
-                batch.column("n_days"),
-            ],
-            names=[batch.schema.names[0], "coefficients", "intercept", "n_days"],
-        )
+# A column is left out if what the others leave of its spread is below this share of it: rounding noise.
+RELATIVE_CUTOFF = 1e-9
+# A column counts as constant if its squared spread is below this share of the largest one.
+CONSTANT_CUTOFF = 1e-20
+PRICE = PRODUCT_FEATURES.index("unit_price")
+
+SIZE = len(PRODUCT_FEATURES)
+
+
+def _each(n: int, expr: str) -> str:
+    return f"transform(sequence(0, {n - 1}), j -> {expr})"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """`body` with a name for `value`, which is computed once: the optimizer copies plain columns into the functions that use them."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _sums() -> dict[str, Column]:
+    """Days, sums of the columns and of their products, as arrays: `pairs` holds the upper triangle, row by row."""
+    # Prices are measured from the product's lowest, so that a constant one is exactly zero.
+    x = [F.col(c).cast("double") - (F.col("base") if c == "unit_price" else 0.0) for c in PRODUCT_FEATURES]
+    y = F.col(TARGET).cast("double")
+    return {
+        "base": F.min("base"), "n": F.count(y).cast("double"), "sum_y": F.coalesce(F.sum(y), F.lit(0.0)),
+        "sums": F.array(*(F.coalesce(F.sum(a), F.lit(0.0)) for a in x)),
+        "with_y": F.array(*(F.coalesce(F.sum(a * y), F.lit(0.0)) for a in x)),
+        "pairs": F.array(*(F.coalesce(F.sum(x[i] * x[j]), F.lit(0.0)) for i in range(SIZE) for j in range(i, SIZE))),
+    }
+
+
+def _eliminated() -> str:
+    """Columns l and numbers u of the pivoted Cholesky elimination of a.g and a.b; an unneeded column is zero."""
+    m = SIZE
+    column = f"""named_struct(
+        'l', {_each(m, f"IF(c.top > 0, s.g[{m} * c.p + j] / sqrt(c.top), 0D)")},
+        'u', IF(c.top > 0, s.b[c.p] / sqrt(c.top), 0D))"""
+    left = f"""named_struct(
+        'g', {_each(m * m, f"IF(j div {m} = c.p OR j % {m} = c.p, 0D, s.g[j] - e.l[j div {m}] * e.l[j % {m}])")},
+        'b', {_each(m, "s.b[j] - e.l[j] * e.u")}, 'l', array_append(s.l, e.l), 'u', array_append(s.u, e.u))"""
+    pivot = "named_struct('p', CAST(array_position(d, array_max(d)) - 1 AS INT), 'top', array_max(d))"
+    step = _let("d", _each(m, f"IF(s.g[{m + 1} * j] > least[j], s.g[{m + 1} * j], 0D)"), _let("c", pivot, _let("e", column, left)))
+    return f"""aggregate(sequence(1, {m}), named_struct('g', a.g, 'b', a.b, 'l', CAST(array() AS ARRAY<ARRAY<DOUBLE>>),
+        'u', CAST(array() AS ARRAY<DOUBLE>)), (s, k) -> {step})"""
+
+
+def _reduced() -> str:
+    """(L'L) v = u by Gauss-Jordan elimination; for an unneeded column a one on the diagonal."""
+    m = SIZE
+    inner = f"""aggregate(sequence(0, {m - 1}),
+        IF(j div {m} = j % {m} AND array_max(t.l[j % {m}]) = 0 AND array_min(t.l[j % {m}]) = 0, 1D, 0D),
+        (x, i) -> x + t.l[j div {m}][i] * t.l[j % {m}][i])"""
+    step = _let("f", _each(m, f"IF(j = k, 0D, s.q[{m} * j + k] / s.q[{m + 1} * k])"), f"""named_struct(
+        'q', {_each(m * m, f"s.q[j] - f[j div {m}] * s.q[{m} * k + j % {m}]")}, 'u', {_each(m, "s.u[j] - f[j] * s.u[k]")})""")
+    return f"aggregate(sequence(0, {m - 1}), named_struct('q', {_each(m * m, inner)}, 'u', t.u), (s, k) -> {step})"
+
+
+def _solved(sums: DataFrame, key: str) -> DataFrame:
+    """(key, coefficients, intercept, n_days) from the sums: one expression over one row per product."""
+    m = SIZE
+    full = ", ".join(
+        f"pairs[{min(i, j) * m - min(i, j) * (min(i, j) - 1) // 2 + abs(i - j)}]" for i in range(m) for j in range(m))
+    centred = f"""named_struct(
+        'g', {_each(m * m, f"r.n * r.xx[j] - r.x[j div {m}] * r.x[j % {m}]")}, 'b', {_each(m, "r.n * r.xy[j] - r.x[j] * r.y")})"""
+    least = _let("most", f"array_max({_each(m, f'a.g[{m + 1} * j]')})", _each(
+        m, f"IF(a.g[{m + 1} * j] > {CONSTANT_CUTOFF!r}D * most, {RELATIVE_CUTOFF!r}D * a.g[{m + 1} * j], DOUBLE('Infinity'))"))
+    coefficients = _each(m, f"aggregate(sequence(0, {m - 1}), 0D, (x, i) -> x + t.l[i][j] * v[i])")
+    answer = f"""named_struct('coefficients', w, 'intercept',
+        (r.y - aggregate(sequence(0, {m - 1}), 0D, (x, i) -> x + w[i] * r.x[i])) / r.n - w[{PRICE}] * r.base)"""
+    body = _let("t", _eliminated(), _let("z", _reduced(), _let("v", _each(m, f"z.u[j] / z.q[{m + 1} * j]"), _let("w", coefficients, answer))))
+    body = _let("pairs", "p.pairs", _let("r", f"""named_struct('n', p.n, 'y', p.sum_y, 'x', p.sums, 'xy', p.with_y,
+        'base', p.base, 'xx', array({full}))""", _let("a", centred, _let("least", least, body))))
+    given = "named_struct('n', n, 'sum_y', sum_y, 'sums', sums, 'with_y', with_y, 'pairs', pairs, 'base', base)"
+    return sums.select(key, "n_days", F.expr(_let("p", given, body)).alias("solved")).select(
+        key, "solved.coefficients", "solved.intercept", "n_days")
 
 
 def fit(daily: DataFrame, products: DataFrame, key: str = "product_id", train_flag: Column | None = None) -> DataFrame:
@@ -79,22 +100,17 @@ def fit(daily: DataFrame, products: DataFrame, key: str = "product_id", train_fl
 
     Only rows with `train_flag` enter the fit, unless a product has none: then all of its rows do.
     """
-    used = F.lit(True) if train_flag is None else train_flag
+    used = F.lit(True) if train_flag is None else F.coalesce(train_flag, F.lit(False))
     rows = with_calendar(daily.withColumn("used", used).join(products.select(key, "shelf_life_days"), key))
-    row = F.array(*(F.col(c).cast("double") for c in (*PRODUCT_FEATURES, TARGET)))
-    grouped = rows.groupBy(key).agg(
-        F.collect_list(F.when(F.col("used"), row)).alias("fitted"),
-        F.collect_list(F.when(~F.col("used"), row)).alias("others"),
-    )
-    days = F.when(F.size("fitted") > 0, F.col("fitted")).otherwise(F.col("others"))
-    grouped = grouped.select(key, F.size("fitted").cast("bigint").alias("n_days"), F.sort_array(days).alias("days"))
-    schema = T.StructType([
-        T.StructField(key, grouped.schema[key].dataType),
-        T.StructField("coefficients", T.ArrayType(T.DoubleType())),
-        T.StructField("intercept", T.DoubleType()),
-        T.StructField("n_days", T.LongType()),
-    ])
-    return grouped.mapInArrow(_solve, schema)
+    # A product's window holds its days, at most a calendar's worth, and has the partitioning that the sums need anyway.
+    own = W.partitionBy(key)
+    if train_flag is not None:
+        rows = rows.withColumn("any_used", F.max("used").over(own)).filter("used OR NOT any_used")
+    rows = rows.withColumn("base", F.min(F.col("unit_price").cast("double")).over(own))
+    sums = rows.groupBy(key).agg(*(c.alias(n) for n, c in _sums().items()), F.count_if("used").alias("n_days"))
+    # Solving a row costs far more than moving it, so a few MB of rows are not left to one task.
+    parts = int(daily.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _solved(sums.repartition(parts, key), key)
 
 
 def prediction() -> Column:

@@ -14,7 +14,7 @@ from ripecast.operators import (
     demand, evaluate, explore, features, forecast, kpis, pricing, products, replenish, sketches, trend,
 )
 from ripecast.plans import model
-from ripecast.sources import contracts, files
+from ripecast.sources import contracts, files, snapshots
 from ripecast.sources.star import StarTables, product_id
 
 Report = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,18 @@ def csv_roundtrip(t: StarTables) -> DataFrame:
     return sales.unionByName(stock, allowMissingColumns=True)
 
 
+@report
+def snapshot_roundtrip(t: StarTables) -> DataFrame:
+    """Sales and inventory written as one version over an older, smaller one, and read back by the manifest."""
+    path = files.shared_path(t.spark, "snapshots")
+    pair = {"sales": _presentable(t.sales()), "inventory": t.inventory().drop("row_order")}
+    snapshots.write({n: df.limit(0) for n, df in pair.items()}, path)
+    snapshots.write(pair, path)
+    back = snapshots.read(t.spark, path, verify=True)
+    sales, stock = (back[n].withColumn("table_name", F.lit(n)) for n in ("sales", "inventory"))
+    return sales.unionByName(stock, allowMissingColumns=True)
+
+
 # -- filters and projections ---------------------------------------------------------------
 
 @report
@@ -468,6 +480,14 @@ def model_save_load(t: StarTables) -> DataFrame:
     return _reloaded_forecast(t, _trained(t, "pooled_linear_regression"))
 
 
+@report
+def forest_save_load(t: StarTables) -> DataFrame:
+    """Forecast and held-out metrics of a forest that was saved and loaded again."""
+    loaded = model.reloaded(_trained(t, "random_forest"), t.spark)
+    summed = loaded.forecast_demand().agg(F.count("*").alias("n_forecast"), F.sum("predicted_quantity").alias("predicted_quantity"))
+    return loaded.metrics().crossJoin(summed)
+
+
 # Facts about fitted models that SQL can state without fitting one.
 
 @report

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ripecast.functions import policy
 from ripecast.operators import (
     demand, evaluate, explore, features, forecast, forest, linear, pooled, pricing, products, replenish, trend,
 )
+from ripecast.sources import files
 from ripecast.sources.files import materialize, shared_path
 
 PER_PRODUCT = ("trend", "linear_regression")
@@ -17,6 +18,19 @@ POOLED = {"random_forest": "random_forest", "pooled_linear_regression": "linear_
 MODEL_TYPES = (*PER_PRODUCT, *POOLED)
 
 
+ABOUT = (
+    "model_type string, fit_on string, trees int, partitions int, features array<string>, target string, "
+    "parts array<struct<name string, n_rows bigint, checksum bigint>>")
+
+
+def _checksum(part: DataFrame) -> tuple[Column, Column]:
+    """Rows, and a sum over them that no order and no partitioning changes."""
+    # Added up as decimals, which can't overflow; equal rows don't cancel out as they would by exclusive or.
+    h = F.xxhash64(*part.columns).cast("decimal(20,0)")
+    total = F.coalesce(F.sum(h), F.lit(0).cast("decimal(30,0)"))
+    return F.count(F.lit(1)).alias("rows"), F.pmod(total, F.lit(1 << 61).cast("decimal(20,0)")).cast("bigint").alias("checksum")
+
+
 class DemandModel:
     """A demand model over a sales table in contract form.
 
@@ -89,8 +103,6 @@ class DemandModel:
     def metrics(self, *by: str) -> DataFrame:
         """Accuracy on the held-out days, over all products or by `product_id`."""
         self._require_trained()
-        if self._test is None:
-            raise ValueError("Metrics need the training session; a loaded model has no held-out days.")
         known = self._attach(self._profile.drop("first_date", "last_date"))
         predicted = F.col("prediction")
         if self.model_type in PER_PRODUCT:
@@ -116,6 +128,8 @@ class DemandModel:
     def fitted_days(self) -> DataFrame:
         """The days a per-product model was fitted on, with features, quantity and prediction."""
         self._require_trained()
+        if self._fitted is None:
+            raise ValueError("the fitted days are known in the training session only")
         known = self._attach(self._profile.drop("first_date", "last_date"))
         return self._score(self._fitted.join(known, "product_id"))
 
@@ -175,8 +189,6 @@ class DemandModel:
         forecast.check_horizon(days_ahead)
         if profile is None:
             profile = self._profile if sales is None else products.profile(sales)
-        if profile is None:
-            raise ValueError("a loaded model needs the sales or products to forecast for")
         if product_id is not None:
             profile = explore.by_product_id(profile, product_id)
         known = self._attach(profile).withColumn("unit_price", F.col("mean_price"))
@@ -232,34 +244,56 @@ class DemandModel:
 
     # -- persistence -----------------------------------------------------------------------
 
+    def _parts(self) -> dict[str, DataFrame]:
+        """Everything the model knows, as tables."""
+        parts = {"per_product": self._per_product, "products": self._profile, "held_out": self._test}
+        if self.model_type in POOLED:
+            parts["codes"] = self._codes
+        if self.model_type == "random_forest":
+            parts["trees"] = self._pipeline.table
+        return parts
+
     def save(self, path: str) -> None:
-        """Everything prediction needs, below one folder that must not exist yet."""
+        """Everything that forecasts and metrics need, below one folder that must not exist yet.
+
+        The manifest, with rows and checksum of every part, is written last: what a failed save leaves behind can't be loaded.
+        """
         self._require_trained()
         spark = self._per_product.sparkSession
+        sums = []
+        for name, part in self._parts().items():
+            seen = Observation()
+            part.observe(seen, *_checksum(part)).write.parquet(f"{path}/{name}")
+            sums.append((name, seen.get["rows"], seen.get["checksum"]))
+        if self.model_type == "pooled_linear_regression":
+            self._pipeline.write().save(f"{path}/pipeline")
         about = spark.createDataFrame(
-            [(self.model_type, self.fit_on, self.trees, self.partitions, list(features.FEATURES), features.TARGET)],
-            "model_type string, fit_on string, trees int, partitions int, features array<string>, target string",
-        )
-        self._per_product.write.parquet(f"{path}/per_product")
-        if self.model_type in POOLED:
-            self._codes.write.parquet(f"{path}/codes")
-            if self.model_type == "random_forest":
-                self._pipeline.table.write.parquet(f"{path}/trees")
-            else:
-                self._pipeline.write().save(f"{path}/pipeline")
-        about.write.json(f"{path}/about")
+            [(self.model_type, self.fit_on, self.trees, self.partitions, list(features.FEATURES), features.TARGET, sums)], ABOUT)
+        about.coalesce(1).write.json(f"{path}/about")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> DemandModel:
-        about = spark.read.schema("model_type string, fit_on string, trees int, partitions int").json(f"{path}/about").first()
+        """A saved model; one that is incomplete, or whose parts differ from what was saved, is refused."""
+        try:
+            files.require_paths(spark, f"{path}/about/_SUCCESS")
+        except ValueError as error:
+            raise ValueError(f"incomplete model: {error}") from None
+        about = spark.read.schema(ABOUT).json(f"{path}/about").first()
         loaded = cls(about.model_type, about.fit_on, about.trees, about.partitions)
-        loaded._per_product = spark.read.parquet(f"{path}/per_product")
+        parts = {}
+        for name, n_rows, checksum in about.parts:
+            files.require_paths(spark, f"{path}/{name}")
+            parts[name] = spark.read.parquet(f"{path}/{name}")
+            found = parts[name].agg(*_checksum(parts[name])).first()
+            if (found.rows, found.checksum) != (n_rows, checksum):
+                raise ValueError(f"damaged model: {name} has {found.rows} rows and is not what was saved ({n_rows} rows)")
+        loaded._per_product, loaded._profile, loaded._test = parts["per_product"], parts["products"], parts["held_out"]
         if loaded.model_type in POOLED:
-            loaded._codes = spark.read.parquet(f"{path}/codes")
-            if loaded.model_type == "random_forest":
-                loaded._pipeline = forest.Forest(spark.read.schema(forest.TREES).parquet(f"{path}/trees"), pooled.POOLED_FEATURES)
-            else:
-                loaded._pipeline = PipelineModel.load(f"{path}/pipeline")
+            loaded._codes = parts["codes"]
+        if loaded.model_type == "random_forest":
+            loaded._pipeline = forest.Forest(parts["trees"], pooled.POOLED_FEATURES)
+        elif loaded.model_type == "pooled_linear_regression":
+            loaded._pipeline = PipelineModel.load(f"{path}/pipeline")
         return loaded
 
 

@@ -336,6 +336,72 @@ def _walked(rows: str, depth: int = 10) -> str:
     guessed AS (SELECT k, avg(value) AS p FROM step_{depth} JOIN trees USING (tree, node) GROUP BY k)"""
 
 
+def _linear(m: int = 12) -> str:
+    """Minimum-norm least squares per product over its training days, by two eliminations of lists."""
+    def each(n: int, expr: str) -> str:
+        return f"[{expr} for j in range({n})]"
+
+    def added(first: str, expr: str) -> str:
+        return f"list_reduce(list_concat([{first}], [{expr} for i in range({m})]), lambda a, b: a + b)"
+
+    pairs = ", ".join(f"sum(x[{min(i, j)}] * x[{max(i, j)}])" for i in range(1, m + 1) for j in range(1, m + 1))
+    out = f"""
+    sold AS (
+      SELECT {PRODUCT_ID.format(k='p_partkey')} AS product_id, p_name AS product_name, CAST(3 + p_size % 13 AS INT) AS shelf_life_days,
+        CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE) AS unit_price FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)),
+    points AS (
+      SELECT *, {_product_features('date')} AS x
+      FROM (SELECT *, max(1 - is_test) OVER (PARTITION BY product_id) AS any_used FROM split) JOIN sold USING (product_id)),
+    bases AS (SELECT product_id, min(unit_price) AS base FROM points GROUP BY 1),
+    shifted AS (
+      SELECT product_id, base, is_test, CAST(quantity_sold AS DOUBLE) AS y, list_concat([x[1] - base], x[2:{m}]) AS x
+      FROM points JOIN bases USING (product_id) WHERE is_test = 0 OR any_used = 0),
+    raw AS (
+      SELECT product_id, base, count(*) FILTER (is_test = 0) AS n_days, CAST(count(*) AS DOUBLE) AS n, sum(y) AS sy, [{", ".join(f"sum(x[{i}])" for i in range(1, m + 1))}] AS sx,
+        [{", ".join(f"sum(x[{i}] * y)" for i in range(1, m + 1))}] AS sxy, [{pairs}] AS sxx FROM shifted GROUP BY 1, 2),
+    centred AS (
+      SELECT *, {each(m * m, f"n * sxx[j + 1] - sx[j // {m} + 1] * sx[j % {m} + 1]")} AS g, {each(m, "n * sxy[j + 1] - sx[j + 1] * sy")} AS b FROM raw),
+    e0 AS (
+      SELECT *, {each(m, f"CASE WHEN g[{m + 1} * j + 1] > 1e-20::DOUBLE * list_max({each(m, f'g[{m + 1} * j + 1]').replace(' j ', ' k ')}) THEN 1e-9::DOUBLE * g[{m + 1} * j + 1] ELSE 'Infinity'::DOUBLE END")} AS least
+      FROM centred)"""
+    kept = "product_id, base, n_days, n, sy, sx, least"
+    for k in range(m):
+        before = "".join(f", l{i}, u{i}" for i in range(k))
+        out += f""",
+    d{k} AS (SELECT *, {each(m, f"CASE WHEN g[{m + 1} * j + 1] > least[j + 1] THEN g[{m + 1} * j + 1] ELSE 0::DOUBLE END")} AS d FROM e{k}),
+    p{k} AS (SELECT *, CAST(list_position(d, list_max(d)) - 1 AS INT) AS p, list_max(d) AS top FROM d{k}),
+    c{k} AS (
+      SELECT *, {each(m, f"CASE WHEN top > 0 THEN g[{m} * p + j + 1] / sqrt(top) ELSE 0::DOUBLE END")} AS l{k},
+        CASE WHEN top > 0 THEN b[p + 1] / sqrt(top) ELSE 0::DOUBLE END AS u{k} FROM p{k}),
+    e{k + 1} AS MATERIALIZED (
+      SELECT {kept}{before}, l{k}, u{k}, {each(m * m, f"CASE WHEN j // {m} = p OR j % {m} = p THEN 0::DOUBLE ELSE g[j + 1] - l{k}[j // {m} + 1] * l{k}[j % {m} + 1] END")} AS g,
+        {each(m, f"b[j + 1] - l{k}[j + 1] * u{k}")} AS b FROM c{k})"""
+    unused = f"CASE WHEN j // {m} = j % {m} AND list_max(l[j % {m} + 1]) = 0 AND list_min(l[j % {m} + 1]) = 0 THEN 1::DOUBLE ELSE 0::DOUBLE END"
+    out += f""",
+    small AS (SELECT {kept}, [{", ".join(f"l{k}" for k in range(m))}] AS l, [{", ".join(f"u{k}" for k in range(m))}] AS u FROM e{m}),
+    s0 AS (SELECT *, {each(m * m, added(unused, f"l[j // {m} + 1][i + 1] * l[j % {m} + 1][i + 1]"))} AS q FROM small)"""
+    for k in range(m):
+        out += f""",
+    f{k} AS (SELECT *, {each(m, f"CASE WHEN j = {k} THEN 0::DOUBLE ELSE q[{m} * j + {k} + 1] / q[{(m + 1) * k + 1}] END")} AS f FROM s{k}),
+    s{k + 1} AS MATERIALIZED (
+      SELECT {kept}, l, {each(m * m, f"q[j + 1] - f[j // {m} + 1] * q[{m * k} + j % {m} + 1]")} AS q, {each(m, f"u[j + 1] - f[j + 1] * u[{k + 1}]")} AS u FROM f{k})"""
+    return DAILY + SPLIT + "," + out + f""",
+    ends AS (SELECT *, {each(m, f"u[j + 1] / q[{m + 1} * j + 1]")} AS v FROM s{m}),
+    solved AS (SELECT *, {each(m, added("0::DOUBLE", "l[i + 1][j + 1] * v[i + 1]"))} AS coefficients FROM ends),
+    fitted AS MATERIALIZED (
+      SELECT product_id, n_days, coefficients,
+        (sy - {added("0::DOUBLE", "coefficients[i + 1] * sx[i + 1]")}) / n - coefficients[1] * base AS intercept FROM solved)"""
+
+
+def _product_features(day: str) -> str:
+    return f"""[CAST(f AS DOUBLE) for f in [unit_price, month({day}), day({day}), isodow({day}) - 1, quarter({day}),
+      dayofyear({day}), CAST(isodow({day}) >= 6 AS INT), CAST(month({day}) IN (6, 7, 8) AS INT), CAST(month({day}) IN (12, 1, 2) AS INT),
+      CAST(month({day}) IN (3, 4, 5) AS INT), CAST(month({day}) IN (9, 10, 11) AS INT), shelf_life_days]]"""
+
+
+LINE = "list_reduce(list_concat([intercept], [coefficients[i + 1] * x[i + 1] for i in range(12)]), lambda a, b: a + b)"
+
+
 def statements() -> dict[str, str]:
     w = "WITH "
     forecast_rows = w + _forecast(30) + f" SELECT {FORECAST_COLUMNS} FROM forecast"
@@ -369,12 +435,12 @@ def statements() -> dict[str, str]:
         "contract_defaults": w + SALES + """
           SELECT date, product_id, season, is_weekend, CAST(7 AS INT) AS shelf_life_days,
                  CAST(100 AS BIGINT) AS current_stock FROM sales""",
-        "csv_roundtrip": w + SALES + f"""
+        **dict.fromkeys(("csv_roundtrip", "snapshot_roundtrip"), w + SALES + f"""
           SELECT *, 'sales' AS table_name, CAST(NULL AS BIGINT) AS current_stock, CAST(NULL AS BIGINT) AS reorder_level
           FROM ({CANONICAL})
           UNION ALL BY NAME
           SELECT date, product_id, shelf_life_days, 'inventory' AS table_name, CAST(stock AS BIGINT) AS current_stock,
-                 CAST(30 AS BIGINT) AS reorder_level FROM sales""",
+                 CAST(30 AS BIGINT) AS reorder_level FROM sales"""),
         "filter_date_range": w + SALES + """
           SELECT date, product_id, category, quantity_sold FROM sales
           WHERE date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'""",
@@ -535,6 +601,33 @@ def statements() -> dict[str, str]:
           asked AS (SELECT row_number() OVER () AS k, quantity_sold, """ + _features("date") + """ AS x
             FROM split JOIN known USING (product_id) WHERE is_test = 1)""" + _walked("SELECT k, x FROM asked") + """,
           pairs AS (SELECT CAST(quantity_sold AS DOUBLE) AS actual, p AS predicted FROM asked JOIN guessed USING (k))""" + _metrics(""),
+        "forest_save_load": w + _forest() + """,
+          asked AS (
+            SELECT row_number() OVER () AS k, NULL AS quantity_sold, """ + _features("day") + """ AS x
+            FROM (SELECT product_id, max(date) AS last_date FROM daily GROUP BY 1) JOIN known USING (product_id),
+              LATERAL (SELECT last_date + CAST(h AS INT) AS day FROM range(1, 31) r(h))
+            UNION ALL
+            SELECT -row_number() OVER (), quantity_sold, """ + _features("date") + """
+            FROM split JOIN known USING (product_id) WHERE is_test = 1)""" + _walked("SELECT k, x FROM asked") + """,
+          pairs AS (SELECT CAST(quantity_sold AS DOUBLE) AS actual, p AS predicted FROM asked JOIN guessed USING (k) WHERE k < 0)
+          SELECT * FROM (""" + _metrics("") + """) CROSS JOIN (
+            SELECT count(*) AS n_forecast, CAST(sum(greatest(0, CAST(round_even(p, 0) AS BIGINT))) AS BIGINT) AS predicted_quantity
+            FROM guessed WHERE k > 0)""",
+        "forecast_linear": w + _linear() + f""",
+          asked AS (
+            SELECT product_id, product_name, shelf_life_days, day, {_product_features('day')} AS x
+            FROM (SELECT product_id, max(date) AS last_date FROM daily GROUP BY 1) JOIN sold USING (product_id),
+              LATERAL (SELECT last_date + CAST(h AS INT) AS day FROM range(1, 31) r(h))),
+          guessed AS (SELECT *, {LINE} AS p FROM asked JOIN fitted USING (product_id))
+          SELECT strftime(day, '%Y-%m-%d') AS date, product_id, product_name, greatest(0, CAST(round_even(p, 0) AS BIGINT)) AS predicted_quantity,
+            greatest(0, CAST(round_even(p * CASE WHEN shelf_life_days < 7 THEN 0.7::DOUBLE ELSE 0.8::DOUBLE END, 0) AS BIGINT)) AS confidence_interval_lower,
+            CAST(round_even(p * CASE WHEN shelf_life_days < 7 THEN 1.3::DOUBLE ELSE 1.2::DOUBLE END, 0) AS BIGINT) AS confidence_interval_upper,
+            shelf_life_days
+          FROM guessed""",
+        "eval_linear": w + _linear() + f""",
+          pairs AS (
+            SELECT CAST(quantity_sold AS DOUBLE) AS actual, CASE WHEN n_days > 0 THEN {LINE} END AS predicted
+            FROM points JOIN fitted USING (product_id) WHERE is_test = 1)""" + _metrics(""),
         "save_load_certificate": w + DAILY + """
           SELECT DISTINCT product_id, CAST(30 AS BIGINT) AS n_days, CAST(30 AS BIGINT) AS n_equal FROM daily""",
         "eval_metrics": w + PAIRS + _metrics(""),

@@ -47,8 +47,28 @@ def test_save_and_load_predict_alike(seasonal, spark, tmp_path, model_type):
     want = sorted(map(str, model.forecast_demand(seasonal, days_ahead=9).collect()))
     assert len(want) == 36
     assert sorted(map(str, loaded.forecast_demand(seasonal, days_ahead=9).collect())) == want
-    with pytest.raises(ValueError, match="held-out"):
-        loaded.metrics()
+    assert sorted(map(str, loaded.forecast_demand(days_ahead=9).collect())) == want
+    assert rows(loaded.metrics()) == rows(model.metrics())
+    assert by(loaded.metrics("product_id"), "product_id") == by(model.metrics("product_id"), "product_id")
+
+
+def test_partial_and_damaged_models_are_refused(seasonal, spark, tmp_path, monkeypatch):
+    model = DemandModel("trend").train(seasonal)
+    good, part = tmp_path / "good", tmp_path / "part"
+    model.save(str(good))
+    with monkeypatch.context() as broken:
+        broken.setattr(type(model), "_parts", lambda self: {"per_product": self._per_product, "products": self._profile.selectExpr(
+            "*", "raise_error('disk full') AS no_space")})
+        with pytest.raises(Exception, match="disk full"):
+            model.save(str(part))
+    with pytest.raises(ValueError, match="incomplete model"):
+        DemandModel.load(spark, str(part))
+    with pytest.raises(ValueError, match="incomplete model"):
+        DemandModel.load(spark, str(tmp_path / "none"))
+    DemandModel.load(spark, str(good))
+    spark.read.parquet(f"{good}/held_out").limit(5).write.parquet(f"{good}/held_out", mode="append")
+    with pytest.raises(ValueError, match="damaged model: held_out"):
+        DemandModel.load(spark, str(good))
 
 
 def test_one_product_equals_its_part_of_all(seasonal, spark, make_inventory):
