@@ -14,7 +14,7 @@ from ripecast.operators import (
     demand, evaluate, explore, features, forecast, kpis, pricing, products, replenish, sketches, trend,
 )
 from ripecast.plans import model
-from ripecast.sources import contracts, files, snapshots
+from ripecast.sources import contracts, files, rejects, snapshots
 from ripecast.sources.star import StarTables, product_id
 
 Report = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,31 @@ def snapshot_roundtrip(t: StarTables) -> DataFrame:
     return sales.unionByName(stock, allowMissingColumns=True)
 
 
+def _dirty_export(t: StarTables) -> DataFrame:
+    """The sales as a text export in which some values are broken, by rules over their own keys."""
+    rows = t.priced_facts().select(
+        "date", "product_id", "product_name", "category", "quantity_sold", "unit_price", "revenue", "profit", KEY, "current_stock")
+    text = rows.withColumns({c: F.col(c).cast("string") for c in rows.columns if c not in (KEY, "current_stock")})
+    return text.withColumns({
+        "date": F.when(F.col("current_stock") % 31 == 0, F.lit("n/a")).otherwise(F.col("date")),
+        "product_id": F.when(F.col(KEY) % 23 != 0, F.col("product_id")),
+        "quantity_sold": F.when(F.col("current_stock") % 29 == 1, F.concat("quantity_sold", F.lit("x")))
+        .when(F.col("current_stock") % 29 == 2, F.concat(F.lit("-1"), F.col("quantity_sold"))).otherwise(F.col("quantity_sold")),
+        "unit_price": F.when(F.col(KEY) % 19 == 3, F.lit("1e12")).otherwise(F.col("unit_price")),
+    }).drop(KEY, "current_stock")
+
+
+@report
+def rejected_rows(t: StarTables) -> DataFrame:
+    """Values rejected by column and reason, beside the rows read, accepted and rejected."""
+    got = rejects.sort_out(_dirty_export(t))
+    reasons = got.rejected.groupBy("column", "reason").agg(F.count("*").alias("n"))
+    counts = got.counts().unpivot([], ["n_read", "n_accepted", "n_rejected"], "reason", "n")
+    sales = contracts.canonical_sales(got.accepted).agg(F.count("*").alias("n")).withColumn("reason", F.lit("in contract form"))
+    rows = F.lit("row").alias("column")
+    return reasons.unionByName(counts.select(rows, "reason", "n")).unionByName(sales.select(rows, "reason", "n"))
+
+
 # -- filters and projections ---------------------------------------------------------------
 
 @report

@@ -441,6 +441,21 @@ def statements() -> dict[str, str]:
           UNION ALL BY NAME
           SELECT date, product_id, shelf_life_days, 'inventory' AS table_name, CAST(stock AS BIGINT) AS current_stock,
                  CAST(30 AS BIGINT) AS reorder_level FROM sales"""),
+        "rejected_rows": w + SALES + """,
+          broken AS (
+            SELECT stock % 31 = 0 AS no_date, product_id, CAST(substr(product_id, 2) AS BIGINT) % 23 = 0 AS no_id, stock % 29 = 1 AS no_number,
+                   stock % 29 = 2 AS below, CAST(substr(product_id, 2) AS BIGINT) % 19 = 3 AS too_large FROM sales),
+          bad AS (SELECT *, no_date OR no_id OR no_number OR below OR too_large AS is_bad FROM broken),
+          lines AS (
+            SELECT 'date' AS "column", 'not a date' AS reason, count(*) FILTER (no_date) AS n FROM bad
+            UNION ALL SELECT 'product_id', 'missing', count(*) FILTER (no_id) FROM bad
+            UNION ALL SELECT 'quantity_sold', 'not a number', count(*) FILTER (no_number) FROM bad
+            UNION ALL SELECT 'quantity_sold', 'negative', count(*) FILTER (below) FROM bad
+            UNION ALL SELECT 'unit_price', 'out of range', count(*) FILTER (too_large) FROM bad)
+          SELECT * FROM lines WHERE n > 0
+          UNION ALL SELECT 'row', 'n_read', count(*) FROM bad UNION ALL SELECT 'row', 'n_rejected', count(*) FILTER (is_bad) FROM bad
+          UNION ALL SELECT 'row', 'n_accepted', count(*) FILTER (NOT is_bad) FROM bad
+          UNION ALL SELECT 'row', 'in contract form', count(*) FILTER (NOT is_bad) FROM bad""",
         "filter_date_range": w + SALES + """
           SELECT date, product_id, category, quantity_sold FROM sales
           WHERE date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'""",
