@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 LOW_BITS = 20
 
 
-def fit(daily: DataFrame, key: str = "product_id", train_flag: Column | None = None) -> DataFrame:
-    """Intercept and slope against days since the product's first sale.
+SUMMED = ("n", "n_all", "sum_all", "st", "stt", "sy", "sty_high", "sty_low")
+
+
+def sums(daily: DataFrame, key: str = "product_id", train_flag: Column | None = None) -> DataFrame:
+    """All that a line needs, per product, as whole numbers that add up over any split of the days.
 
     Only rows with `train_flag` enter the fit; first and last date always come from all rows.
-    Days are counted from 1970 while summing, and shifted to the first sale afterwards: that
-    takes one pass instead of a join with the first date.
+    Days are counted from 1970, and shifted to the first sale afterwards: that takes one pass instead of a join with the first date.
     """
     used = F.lit(True) if train_flag is None else train_flag
     t = F.unix_date("date").cast("bigint")
@@ -25,9 +27,9 @@ def fit(daily: DataFrame, key: str = "product_id", train_flag: Column | None = N
     def total(x: Column) -> Column:
         return F.coalesce(F.sum(F.when(used, x)), F.lit(0))
 
-    sums = daily.groupBy(key).agg(
+    return daily.groupBy(key).agg(
         F.count(F.when(used, F.lit(1))).alias("n"),
-        F.avg(y).alias("mean_of_all"),
+        F.count(y).alias("n_all"), F.coalesce(F.sum(y), F.lit(0)).alias("sum_all"),
         total(t).alias("st"),
         total(t * t).alias("stt"),
         total(y).alias("sy"),
@@ -36,7 +38,25 @@ def fit(daily: DataFrame, key: str = "product_id", train_flag: Column | None = N
         total(t * y.bitwiseAND(F.lit((1 << LOW_BITS) - 1))).alias("sty_low"),
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
-    ).withColumn("t0", F.unix_date("first_date").cast("bigint"))
+    )
+
+
+def merged(parts: DataFrame, key: str = "product_id") -> DataFrame:
+    """The sums of all days, from the sums of parts of them; a product's day must lie in one part only."""
+    return parts.groupBy(key).agg(
+        *(F.sum(c).alias(c) for c in SUMMED), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"))
+
+
+def fit(daily: DataFrame, key: str = "product_id", train_flag: Column | None = None) -> DataFrame:
+    """Intercept and slope against days since the product's first sale, over rows with `train_flag`."""
+    return lines(sums(daily, key, train_flag), key)
+
+
+def lines(summed: DataFrame, key: str = "product_id") -> DataFrame:
+    """Intercept and slope from a product's sums."""
+    known = summed.withColumns({
+        "t0": F.unix_date("first_date").cast("bigint"),
+        "mean_of_all": F.try_divide(F.col("sum_all").cast("double"), F.col("n_all").cast("double"))})
 
     # One row per product from here on; decimals keep every product of sums exact.
     n, t0, st, stt, sy, high, low = (
@@ -45,7 +65,7 @@ def fit(daily: DataFrame, key: str = "product_id", train_flag: Column | None = N
     sx = (st - n * t0).cast("decimal(19,0)")
     sxx = (stt - 2 * t0 * st + n * t0 * t0).cast("decimal(19,0)")
     sxy = (high * F.lit(1 << LOW_BITS).cast("decimal(8,0)") + low - t0 * sy).cast("decimal(27,0)")
-    shifted = sums.withColumns({"sx": sx, "sxx": sxx, "sxy": sxy})
+    shifted = known.withColumns({"sx": sx, "sxx": sxx, "sxy": sxy})
     count = F.col("n").cast("decimal(10,0)")
     above = (count * F.col("sxy") - F.col("sx") * sy).cast("double")
     below = (count * F.col("sxx") - F.col("sx") * F.col("sx")).cast("double")

@@ -13,7 +13,7 @@ from ripecast.functions import calendar
 from ripecast.operators import (
     demand, evaluate, explore, features, forecast, kpis, pricing, products, replenish, sketches, trend,
 )
-from ripecast.plans import model
+from ripecast.plans import forecast_store, model
 from ripecast.sources import contracts, files, rejects, snapshots
 from ripecast.sources.star import StarTables, product_id
 
@@ -23,6 +23,7 @@ KEY = "product_key"
 
 # Arguments of the parameterised reports.
 RANGE = (dt.date(1996, 1, 1), dt.date(1998, 12, 31))
+STORED_UNTIL = dt.date(1998, 1, 1)
 SOME_NAME = "red widget"
 SOME_ID = "P000000042"
 
@@ -455,6 +456,17 @@ def price_comparison(t: StarTables) -> DataFrame:
     return pricing.comparison(pricing.suggest(_trend(t, pricing.PAGE_DAYS), KEY))
 
 
+@report
+def stored_reorder_plan(t: StarTables) -> DataFrame:
+    """The reorder plan from a stored forecast that was built on the days before 1998 and updated with the others."""
+    daily = files.materialize(_daily_by_id(t), "daily-demand")
+    store = forecast_store.ForecastStore(t.spark, files.shared_path(t.spark, "forecast-store"))
+    cut = F.col("date") < F.lit(STORED_UNTIL)
+    store.build(daily.filter(cut), t.products())
+    store.update(daily.filter(~cut), t.products())
+    return store.reorder_plan(_stocked(t).select("product_id", "current_stock"))
+
+
 # -- learned models ------------------------------------------------------------------------
 
 def _trained(t: StarTables, model_type: str, **options: object) -> model.DemandModel:

@@ -657,10 +657,10 @@ def statements() -> dict[str, str]:
                  CAST(CASE WHEN due IS NOT NULL THEN quantity END AS BIGINT) AS suggested_quantity,
                  current_stock, reorder_level, shelf_life_days
           FROM status""",
-        "reorder_plan": w + STOCK + """
+        **dict.fromkeys(("reorder_plan", "stored_reorder_plan"), w + STOCK + """
           SELECT product_id, product_name, due AS suggested_reorder_date,
                  CAST(quantity AS BIGINT) AS suggested_quantity, current_stock, reorder_level, shelf_life_days
-          FROM status WHERE due IS NOT NULL""",
+          FROM status WHERE due IS NOT NULL"""),
         "price_optimization": w + PRICES + """
           SELECT product_id, product_name, current_price, suggested_price,
                  CASE WHEN suggested_price < current_price THEN 'Discount'
