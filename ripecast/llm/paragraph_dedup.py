@@ -322,8 +322,13 @@ def cut_text(raw: str, gone: list[int], spans: list[tuple[int, int]]) -> str:
 
 
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Documents without the removed paragraphs and passages; texts that lose none are unchanged, to the byte."""
-    gone = found.filter("removed").groupBy("doc_id").agg(
+    """Documents without the removed paragraphs and passages; texts that lose none are unchanged, to the byte.
+
+    Rows that share an id can't be told apart here, so a place is cut only if it is removed in every one of them: a text that one
+    of two equal rows keeps stays in both.
+    """
+    places = ["doc_id", *(c for c in ("paragraph", "word", "n_words") if c in found.columns)]
+    gone = found.groupBy(places).agg(F.every("removed").alias("__all")).filter("__all").groupBy("doc_id").agg(
         F.collect_set("paragraph").alias("__gone"), F.collect_set(F.when(F.col("word").isNotNull(), F.struct("word", F.col("word") + F.col("n_words")))).alias("__spans"))
     cut = F.udf(lambda t, g, s: t if t is None or g is None else cut_text(t, g, [tuple(x) for x in s]), "string")
     return docs.join(gone, "doc_id", "left").withColumn("text", cut("text", "__gone", "__spans")).drop("__gone", "__spans")

@@ -77,3 +77,12 @@ def test_long_common_runs_of_the_tables(spark):
     assert len(runs) > 50
     assert sum(bool(seen.get(d, set()) & set(range(i, i + 50))) for d, i in runs) >= 0.99 * len(runs)
     assert {x for x in queries.op4_paragraph_dedup(spark, TESTDATA).columns} < set(got[0])
+
+
+def test_a_text_given_twice_under_one_id_is_not_lost(spark):
+    line = " ".join(f"word{i}" for i in range(40))
+    other = " ".join(f"thing{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, line), (1, line), (2, f"{line}\n{other}"), (3, other)], "doc_id long, text string")
+    found = paragraph_dedup.repeats(docs)
+    left = sorted((r.doc_id, r.text) for r in paragraph_dedup.without_repeats(docs, found).collect())
+    assert left == [(1, line), (1, line), (2, other), (3, "")]
