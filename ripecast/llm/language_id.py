@@ -6,8 +6,8 @@ distance: the sum over the document's n-grams of the difference of the ranks, or
 difference for an n-gram that the language's profile lacks. The nearest language wins, ties go to the
 smaller name; the score is 1 - distance / largest possible distance.
 
-Profiles are as many short rows as languages x PROFILE; learning refuses more than MAX_LANGUAGES. A
-long text is read in pieces of PIECE characters that overlap by two, so that memory is bounded and every n-gram counts once.
+Profiles are broadcast in blocks of BLOCK_LANGUAGES, in order of the names; each block is compared with what the blocks before it found
+best, so that any number of languages can be told apart. A long text is read in pieces of PIECE characters that overlap by two, so that memory is bounded and every n-gram counts once.
 
 Defined results: null, empty and letterless texts are `und` with score 0; documents whose lang is null teach
 nothing; without any training document every text is `und`; rows that share an id are judged each by
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from ripecast.llm import text
 
 PROFILE = 400
-MAX_LANGUAGES = 500
+BLOCK_LANGUAGES = 500
 PIECE = 1 << 20
 UNKNOWN = "und"
 MODULUS, HELD_OUT = 4, 2  # fixed values: crc32 of the id, this remainder is held out
@@ -121,43 +121,54 @@ def profiles(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < size).select("lang", "gram", "rank")
 
 
-def identify(docs: DataFrame, learned: DataFrame, size: int = PROFILE) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every document."""
-    if (n := learned.select("lang").distinct().count()) > MAX_LANGUAGES:
-        raise ValueError(f"{n} languages; at most {MAX_LANGUAGES} can be told apart here")
-    rows = learned.orderBy("lang", "rank").collect()  # at most MAX_LANGUAGES x size short rows
-    names = sorted({r.lang for r in rows})
-    keys = np.array([r.gram for r in rows], np.int64).view(np.uint64)
-    every = np.unique(keys)
-    ranks = np.full((len(names), len(every) + 1), -1, np.int64)
-    for r, k in zip(rows, np.searchsorted(every, keys), strict=True):
-        ranks[names.index(r.lang), k] = r.rank
-    worst = size
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found, scores = [], []
-            for raw in b["text"].to_pylist():
-                name, score = UNKNOWN, 0.0
-                if raw and names:
-                    k, c = grams(raw)
-                    own = ranked(k, c, size)
-                    if len(own):
-                        at = np.searchsorted(every, own)
-                        at[(at == len(every)) | (every[np.minimum(at, len(every) - 1)] != own)] = len(every)
-                        place = ranks[:, at]
-                        off = np.where(place < 0, worst, np.abs(place - np.arange(len(own)))).sum(axis=1)
-                        best = int(np.argmin(off))
-                        name, score = names[best], 1.0 - float(off[best]) / (worst * len(own))
-                found.append(name)
-                scores.append(score)
-            yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], b["held_out"], pa.array(found, pa.string()), pa.array(scores, pa.float64())],
-                ["doc_id", "held_out", "lang_pred", "score"])
+def language_blocks(learned: DataFrame, limit: int) -> Iterator[list]:
+    """Profiles in order of the languages' names, at most `limit` languages at a time."""
+    held, names = [], 0
+    for r in learned.orderBy("lang", "rank").toLocalIterator():
+        if not held or held[-1].lang != r.lang:
+            if names == limit:
+                yield held
+                held, names = [], 0
+            names += 1
+        held.append(r)
+    if held:
+        yield held
 
+
+def identify(docs: DataFrame, learned: DataFrame, size: int = PROFILE, limit: int = BLOCK_LANGUAGES) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) for every document."""
     asked = text.only(docs, "doc_id", "text").withColumn(
         "held_out", F.coalesce(text.bucket_of_id(F.col("doc_id"), MODULUS) == HELD_OUT, F.lit(True)))
+    judged = asked.select("doc_id", "held_out", "text", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"),
+                          F.lit(None).cast("long").alias("off"))
     schema = T.StructType([
-        T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()),
-        T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return asked.mapInArrow(predict, schema)
+        T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("text", T.StringType()),
+        T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("off", T.LongType())])
+    for rows in language_blocks(learned, limit):
+        names = sorted({r.lang for r in rows})
+        number = {n: k for k, n in enumerate(names)}
+        keys = np.array([r.gram for r in rows], np.int64).view(np.uint64)
+        every = np.unique(keys)
+        ranks = np.full((len(names), len(every) + 1), -1, np.int64)
+        ranks[[number[r.lang] for r in rows], np.searchsorted(every, keys)] = [r.rank for r in rows]
+
+        def predict(batches: Iterator[pa.RecordBatch], names=names, every=every, ranks=ranks) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found, scores, offs = (b[c].to_pylist() for c in ("lang_pred", "score", "off"))
+                for x, raw in enumerate(b["text"].to_pylist()):
+                    if raw:
+                        k, c = grams(raw)
+                        own = ranked(k, c, size)
+                        if len(own):
+                            at = np.searchsorted(every, own)
+                            at[(at == len(every)) | (every[np.minimum(at, len(every) - 1)] != own)] = len(every)
+                            place = ranks[:, at]
+                            off = np.where(place < 0, size, np.abs(place - np.arange(len(own)))).sum(axis=1)
+                            best = int(np.argmin(off))
+                            if offs[x] is None or off[best] < offs[x]:
+                                found[x], offs[x] = names[best], int(off[best])
+                                scores[x] = 1.0 - float(off[best]) / (size * len(own))
+                yield text.batch(schema, doc_id=b["doc_id"], held_out=b["held_out"], text=b["text"], lang_pred=found, score=scores, off=offs)
+
+        judged = judged.mapInArrow(predict, schema)
+    return judged.select("doc_id", "held_out", "lang_pred", "score")

@@ -260,6 +260,11 @@ def test_languages(edge, empty, make_docs):
     assert len(rows(language_id.identify(edge, learned))) == len(EDGE)
     assert rows(language_id.identify(empty, learned)) == []
     assert {r["lang_pred"] for r in rows(language_id.identify(edge, language_id.profiles(empty)))} == {"und"}
+    # Profiles in blocks: the same results, ties of equal profiles to the smaller name.
+    many = language_id.profiles(make_docs([(i, "der die und das" if i % 2 else "the of and to", f"l{i % 7}") for i in range(60)]))
+    want = sorted(tuple(r) for r in rows(language_id.identify(edge, many)) if r["doc_id"])
+    for limit in (1, 3, 7):
+        assert sorted(tuple(r) for r in rows(language_id.identify(edge, many, limit=limit)) if r["doc_id"]) == want
 
 
 def test_long_text_in_pieces(monkeypatch):
