@@ -16,7 +16,7 @@ def _stored(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
     return now, (seen.get["n"], seen.get["sum"])
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge (a, b); the component is its smallest node.
 
     Alternates two steps until nothing changes: every node's larger neighbours, then its smaller ones and itself, are hung
@@ -27,7 +27,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now, mark = _stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b"))
     if not mark[0]:
         return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    for _ in range(rounds):
+    while True:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -41,4 +41,3 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if last == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(
                 now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

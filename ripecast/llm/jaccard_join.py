@@ -6,19 +6,21 @@ Exact for every pair, in steps that leave out only what can't link:
    fingerprints answers (a false match only lets a document through). A document with fewer than the share can have no link.
 2. The others' sets are stored; equal sets become one class with its smallest id.
 3. Shingles are ordered from rare to frequent. Two sets that link share one of their first n - ceil(share * n) + 1 shingles, so
-   classes meet by those. Each class is first compared with one class that it meets most often.
-4. Shingles whose classes are all linked with one class have nothing left to tell. The classes of those with the same smallest class
-   go into one signature tree, as long as they are no more than a TILE; beyond, every shingle's classes do. Leaves are sets, nodes hold the OR of their token bitmaps and the range of
-   their sizes. A dual traversal drops node pairs whose largest possible overlap is too small for their sizes, or that
-   are in one component already; pairs of leaves that remain are counted exactly. A shingle with more than TILE
+   classes meet by those.
+4. Signature trees: leaves are sets, nodes hold the OR of their token bitmaps and the range of their sizes. A dual traversal of a tree with
+   itself, or of two, drops node pairs whose largest possible overlap is too small for their sizes, or that
+   are in one component already; pairs of leaves that remain are counted exactly.
+   First every class goes into one tree: that of the smallest class it meets most often, dealt in tiles of TILE classes.
+5. Shingles whose classes are all linked by then have nothing left to tell. The classes of the others with the same smallest class go
+   into one further tree, as long as they are no more than a TILE; beyond, every shingle's classes do, and a shingle with more than TILE
    classes is dealt out in pairs of tiles, so that no task gets an unbounded group.
-5. Components of all links.
+6. Components of all links.
 
-No step lists the pairs of a group of copies: equal sets are one class, near copies hang on one of them.
+No step lists the pairs of a group of copies: equal sets are one class, and the traversal stops at what is joined.
 
 Defined results: null or wordless text has an empty set and links with nothing; a text shorter than the n-gram is one
-shingle; rows that share an id are one document (they link by any of their texts) and are all returned; rows with a
-null id are left out; an empty table gives no rows. Other columns are not read.
+shingle; rows that share an id are one document (they link by any of their texts) and are all returned; a row with a
+null id is a document of its own, greater than all others, and component_id is null if its group has no id; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ SIZE, SHARE = 5, 80   # words per shingle, per cent of the union
 TILE = 1024
 FAN_OUT = 8
 SMALL_IDS = 2_000_000  # so many ids (16 MB) may be broadcast
+MAP_BITS = 1 << 28     # of all leaf bitmaps of a tree
 
 COUNTED = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("n_shared", T.LongType()),
@@ -179,25 +182,12 @@ def linked(a: np.ndarray, b: np.ndarray, share: int) -> bool:
     return min(len(a), len(b)) >= need and overlap(a, b) >= need
 
 
-def verified(pairs: DataFrame, classes: DataFrame, share: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link."""
-    own = classes.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    other = classes.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in batches:
-            keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), share)
-                    for x, y in zip(r["ta"].to_pylist(), r["tb"].to_pylist(), strict=True)]
-            yield r.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(own, "a").join(other, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
-
-
 class Tree:
-    """Signature tree: level 0 are sets, each higher level joins FAN_OUT nodes."""
+    """Signature tree: level 0 are sets, each higher level joins FAN_OUT nodes: OR of token bitmaps, range of sizes."""
 
     def __init__(self, sets: list[np.ndarray], comps: np.ndarray, bits: int):
         self.sets = sets
+        self.comps = comps.tolist()
         lanes = bits // 64
         maps = np.zeros((len(sets), lanes), np.uint64)
         for k, s in enumerate(sets):
@@ -206,92 +196,172 @@ class Tree:
         sizes = np.array([len(s) for s in sets], np.int64)
         # Tokens that share a bit with another of their own set: the bitmaps can't count them.
         lost = sizes - np.bitwise_count(maps).sum(axis=1).astype(np.int64)
-        self.levels = [(maps, sizes, sizes, lost, comps, comps)]
+        self.levels = [(maps, sizes, sizes, lost)]
         while len(self.levels[-1][0]) > 1:
-            m, lo, hi, lost, first, last = self.levels[-1]
+            m, lo, hi, lost = self.levels[-1]
             at = np.arange(0, len(m), FAN_OUT)
             self.levels.append((np.bitwise_or.reduceat(m, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at),
-                                np.maximum.reduceat(lost, at), np.minimum.reduceat(first, at), np.maximum.reduceat(last, at)))
+                                np.maximum.reduceat(lost, at)))
+        #: Per level, nodes known to lie in one component, and a label of it. Components only grow, so this stays true.
+        self.whole: list[dict[int, int]] = [{} for _ in self.levels]
+
+    @property
+    def top(self) -> int:
+        return len(self.levels) - 1
 
+    def below(self, level: int, node: int) -> range:
+        return range(node * FAN_OUT, min((node + 1) * FAN_OUT, len(self.levels[level - 1][0])))
 
-def tree_links(left: Tree, right: Tree, nodes_l: np.ndarray, nodes_r: np.ndarray, share: int) -> list[tuple[int, int]]:
-    """Links that join components which no link found before has joined."""
-    above: dict[int, int] = {}
 
-    def root(c: int) -> int:
+class Walk:
+    """Dual traversal of trees. `links` join components that no link found before has joined; `pruned` counts node pairs
+    that were dropped by bitmap or size, `compared` the pairs of sets that were counted exactly."""
+
+    def __init__(self, share: int):
+        self.share = share
+        self.above: dict[int, int] = {}
+        self.links: list[tuple[Tree, int, Tree, int]] = []
+        self.pruned = self.compared = 0
+
+    def root(self, c: int) -> int:
+        above = self.above
         while (p := above.get(c, c)) != c:
             above[c] = above.get(p, p)
             c = p
         return c
 
-    links = []
-    todo = [(len(left.levels) - 1, 0, len(right.levels) - 1, 0)]
-    while todo:
-        i, a, j, b = todo.pop()
-        la, lb = left.levels[i], right.levels[j]
-        lo_a, hi_a, lo_b, hi_b = int(la[1][a]), int(la[2][a]), int(lb[1][b]), int(lb[2][b])
-        if 100 * hi_a < share * lo_b or 100 * hi_b < share * lo_a:
-            continue
-        one = la[4][a] == la[5][a] and lb[4][b] == lb[5][b]
-        if one and root(int(la[4][a])) == root(int(lb[4][b])):
-            continue
-        most = int(np.bitwise_count(la[0][a] & lb[0][b]).sum()) + min(int(la[3][a]), int(lb[3][b]))
-        if most < least_overlap(lo_a, lo_b, share):
-            continue
+    def component(self, tree: Tree, level: int, node: int) -> int | None:
+        """The component that holds all sets below the node, if one does."""
+        if level == 0:
+            return self.root(tree.comps[node])
+        known = tree.whole[level].get(node)
+        if known is not None:
+            return self.root(known)
+        first = None
+        for k in tree.below(level, node):
+            c = self.component(tree, level - 1, k)
+            if c is None or (first is not None and c != first):
+                return None
+            first = c
+        tree.whole[level][node] = first
+        return first
+
+    def within(self, tree: Tree, level: int, node: int) -> None:
+        """All links among the sets below a node; sets beside each other first, since what they join is not looked at again."""
+        if level == 0 or self.component(tree, level, node) is not None:
+            return
+        for k in tree.below(level, node):
+            self.within(tree, level - 1, k)
+        self.across(tree, level, node, tree, level, node)
+
+    def across(self, left: Tree, i: int, a: int, right: Tree, j: int, b: int) -> None:
+        """Links between the sets below two nodes; of one node with itself, between its children."""
         if i == 0 and j == 0:
-            if linked(left.sets[a], right.sets[b], share):
-                links.append((int(nodes_l[a]), int(nodes_r[b])))
-                above[root(int(la[4][a]))] = root(int(lb[4][b]))
-        elif i >= j:
-            n = len(left.levels[i - 1][0])
-            todo += [(i - 1, k, j, b) for k in range(a * FAN_OUT, min((a + 1) * FAN_OUT, n))]
-        else:
-            n = len(right.levels[j - 1][0])
-            todo += [(i, a, j - 1, k) for k in range(b * FAN_OUT, min((b + 1) * FAN_OUT, n))]
-    return links
+            self.compared += 1
+            if linked(left.sets[a], right.sets[b], self.share):
+                x, y = self.root(left.comps[a]), self.root(right.comps[b])
+                self.above[max(x, y)] = min(x, y)
+                self.links.append((left, a, right, b))
+            return
+        own = left is right and (i, a) == (j, b)
+        xs, ys = (left.below(i, a) if i >= j else range(a, a + 1)), (right.below(j, b) if j >= i else range(b, b + 1))
+        i, j = i - (i >= j), j - (j >= i)
+        ma, lo_a, hi_a, lost_a = (v[xs.start:xs.stop, None] for v in left.levels[i])
+        mb, lo_b, hi_b, lost_b = (v[None, ys.start:ys.stop] for v in right.levels[j])
+        most = np.bitwise_count(ma & mb).sum(axis=2, dtype=np.int64) + np.minimum(lost_a, lost_b)
+        able = (100 * hi_a >= self.share * lo_b) & (100 * hi_b >= self.share * lo_a) & (
+            (100 + self.share) * most >= self.share * (lo_a + lo_b))
+        if own:
+            able = np.triu(able, 1)
+        self.pruned += (len(xs) * (len(xs) - 1) // 2 if own else able.size) - int(able.sum())
+        for x, y in np.argwhere(able).tolist():
+            c = self.component(left, i, xs.start + x)
+            if c is None or c != self.component(right, j, ys.start + y):
+                self.across(left, i, xs.start + x, right, j, ys.start + y)
+
+
+def tree_of(sets: list[np.ndarray], comps: np.ndarray) -> tuple[Tree, np.ndarray]:
+    """The tree, and the order of its leaves: sets of a component beside each other, alike ones (by smallest token) too."""
+    sizes = np.array([len(s) for s in sets])
+    least = np.array([s[0] for s in sets], np.uint64)
+    single = len(np.unique(comps)) == len(comps)
+    order = np.lexsort((sizes, least) if single else (sizes, least, comps))
+    bits = 64
+    while bits < 8 * int(sizes.max()) and bits * len(sets) < MAP_BITS:
+        bits *= 2
+    return Tree([sets[k] for k in order], comps[order], bits), order
 
 
 def tree_join(groups: DataFrame, share: int) -> DataFrame:
-    """Links within groups: rows (kind, token, i, j, tile, node, comp, tokens); tile i is joined with tile j."""
+    """Links within groups: rows (kind, token, i, j, tile, node, comp, tokens); tile i is joined with tile j, or with itself."""
 
     def run(t: pa.Table) -> pa.Table:
         tile = t["tile"].to_numpy()
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
         nodes, comps = t["node"].to_numpy(), t["comp"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in t["tokens"].to_pylist()]
-        sizes = np.array([len(s) for s in sets])
-        # Alike sets beside each other: by component, size and smallest token.
-        order = np.lexsort(([int(s[0]) for s in sets], sizes, comps))
-        bits = 64
-        while bits < 8 * int(sizes.max()):
-            bits *= 2
-
-        def tree(number: int) -> tuple[Tree, np.ndarray] | None:
-            own = order[tile[order] == number]
-            return (Tree([sets[k] for k in own], comps[own], bits), nodes[own]) if len(own) else None
-
-        left, right = tree(i), tree(j)
-        found = tree_links(left[0], right[0], left[1], right[1], share) if left and right else []
-        a, b = zip(*found, strict=True) if found else ((), ())
-        del left, right, sets
+        raw = t["tokens"].to_pylist()
+        walk, made = Walk(share), []
+        for number in sorted({i, j}):
+            own = np.flatnonzero(tile == number)
+            if len(own):
+                tree, order = tree_of([np.frombuffer(raw[k], np.uint64) for k in own.tolist()], comps[own])
+                made.append((tree, nodes[own[order]]))
+        if made and i == j:
+            walk.within(made[0][0], made[0][0].top, 0)
+        elif len(made) == 2:
+            (left, _), (right, _) = made
+            # One width of bitmap for both.
+            lanes = min(left.levels[0][0].shape[1], right.levels[0][0].shape[1])
+            left, right = (x if x.levels[0][0].shape[1] == lanes else Tree(x.sets, np.array(x.comps), 64 * lanes) for x in (left, right))
+            made = [(left, made[0][1]), (right, made[1][1])]
+            walk.across(left, left.top, 0, right, right.top, 0)
+        names = {id(tree): n for tree, n in made}
+        a = [int(names[id(left)][x]) for left, x, _, _ in walk.links]
+        b = [int(names[id(right)][y]) for _, _, right, y in walk.links]
+        del made, raw, names
         ex.release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return groups.groupBy("kind", "token", "i", "j").applyInArrow(run, "a long, b long")
 
 
+def home_links(groups: DataFrame, share: int) -> DataFrame:
+    """(a, b): every class that its tree links with others, and the smallest class of those; rows as for `tree_join`."""
+
+    def run(t: pa.Table) -> pa.Table:
+        # A set may be its group's smallest class and be listed once more.
+        nodes, at = np.unique(t["node"].to_numpy(), return_index=True)
+        raw = t["tokens"].to_pylist()
+        tree, order = tree_of([np.frombuffer(raw[k], np.uint64) for k in at.tolist()], nodes)
+        walk = Walk(share)
+        walk.within(tree, tree.top, 0)
+        label = np.array([walk.root(c) for c in nodes.tolist()], np.int64)
+        moved = label != nodes
+        del tree, walk, raw
+        ex.release()
+        return pa.table({"a": pa.array(label[moved]), "b": pa.array(nodes[moved])})
+
+    return groups.groupBy("kind", "token", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def group_links(meet: DataFrame, classes: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
-    """Links between classes (node, tokens) that share a token of `meet` (token, node): those found by single comparisons,
-    as (node, component), and those that the trees add to them. Together they connect all classes that links connect."""
+    """Links between classes (node, tokens) that share a token of `meet` (token, node): those found in a class's own tree,
+    as (node, component), and those that further trees add to them. Together they connect all classes that links connect."""
     least = meet.groupBy("token").agg(F.min("node").alias("a"))
     often = meet.join(least, "token").filter("a <> node").groupBy("node", "a").agg(F.count("*").alias("n"))
-    pairs = often.groupBy("node").agg(F.max(F.struct("n", (-F.col("a")).alias("minus"))).alias("best")).select(
-        (-F.col("best.minus")).alias("a"), F.col("node").alias("b"))
-    stars = materialize(verified(pairs, classes, share), "star-links")
-    # A class is known to be linked with its center, and with that one's: labels good enough to tell what is settled.
+    homes = often.groupBy("node").agg(F.max(F.struct("n", (-F.col("a")).alias("minus"))).alias("best")).select(
+        (-F.col("best.minus")).alias("token"), "node")
+    # A class goes into one tree: that of the smallest class it meets most often, which is in each of its tiles.
+    tiles = homes.groupBy("token").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    home = homes.join(tiles, "token").select("token", "node", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
+    first = home.unionAll(home.select("token", F.col("token").alias("node"), "tile").distinct())
+    trees = first.join(classes, "node").select(F.lit(0).alias("kind"), "token", F.col("tile").alias("i"), F.col("tile").alias("j"),
+                                               "tile", "node", F.col("node").alias("comp"), "tokens")
+    stars = materialize(home_links(trees, share), "home-links")
+    # A class is known to be linked with the smallest of its tree, and with that one's: labels good enough to tell what is settled.
     own = stars.select(F.col("b").alias("node"), F.col("a").alias("center"))
     known = materialize(own.join(own.select(F.col("node").alias("center"), F.col("center").alias("next")), "center", "left").select(
-        "node", F.coalesce("next", "center").alias("component")), "star-labels")
+        "node", F.coalesce("next", "center").alias("component")), "home-labels")
     placed = meet.join(known, "node", "left").select("token", "node", F.coalesce("component", "node").alias("comp"))
     mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("least"),
                                         F.count("*").alias("g"), F.bit_xor(F.xxhash64("node")).alias("who")).filter("lo <> hi")
@@ -312,9 +382,20 @@ def group_links(meet: DataFrame, classes: DataFrame, share: int) -> tuple[DataFr
     return known, links
 
 
+def numbered(rows: DataFrame) -> tuple[DataFrame, int | None]:
+    """The rows with a number for every null id, and the smallest number used for that, greater than any id; None: there is no null id."""
+    most, nulls = rows.agg(F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    if not nulls:
+        return rows, None
+    beyond = max(-1 if most is None else most, -1) + 1
+    # Stored, since both scans of the texts must see the same numbers.
+    lone = materialize(rows.filter("doc_id IS NULL").select((F.lit(beyond).cast("long") + F.monotonically_increasing_id()).alias("doc_id"), "text"), "numbered")
+    return rows.filter("doc_id IS NOT NULL").unionAll(lone), beyond
+
+
 def join(docs: DataFrame, size: int = SIZE, share: int = SHARE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; component_id is the smallest id reachable by links."""
-    rows = text.only(docs, "doc_id", "text").filter("doc_id IS NOT NULL")
+    rows, beyond = numbered(text.only(docs, "doc_id", "text"))
     counted = materialize(shared_counts(rows, size), "shared-shingles")
     able = counted.filter(f"n_shingles > 0 AND 100 * n_shared >= {share} * n_shingles").select("doc_id").distinct()
     sets = materialize(token_sets(of_ids(rows, able), size).withColumn("row", F.monotonically_increasing_id()), "token-sets")
@@ -330,5 +411,8 @@ def join(docs: DataFrame, size: int = SIZE, share: int = SHARE) -> DataFrame:
     ends = known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(links).unionAll(
         member.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     final = components(ends).withColumnsRenamed({"node": "doc_id", "component": "component_id"})
-    return counted.select("doc_id", "n_shingles").join(final, "doc_id", "left").withColumn(
+    done = counted.select("doc_id", "n_shingles").join(final, "doc_id", "left").withColumn(
         "component_id", F.coalesce("component_id", "doc_id"))
+    if beyond is None:
+        return done
+    return done.withColumns({c: F.when(F.col(c) < beyond, F.col(c)) for c in ("doc_id", "component_id")})

@@ -11,16 +11,20 @@ import duckdb
 import pytest
 from textcases import TESTDATA, words
 
-from ripecast.llm import queries
+from ripecast.llm import jaccard_join, queries
+
+
+def read_documents(folder):
+    return duckdb.sql(f"SELECT doc_id, text, lang, source FROM '{folder}/documents.parquet'").fetchall()
 
 
 @pytest.fixture(scope="module")
 def documents():
-    return duckdb.sql(f"SELECT doc_id, text, lang, source FROM '{TESTDATA}/documents.parquet'").fetchall()
+    return read_documents(TESTDATA)
 
 
-def run(spark, name):
-    return [r.asDict() for r in queries.QUERIES[name](spark, TESTDATA).collect()]
+def run(spark, name, folder=TESTDATA):
+    return [r.asDict() for r in queries.QUERIES[name](spark, folder).collect()]
 
 
 class Groups:
@@ -116,14 +120,27 @@ def test_paragraphs(spark, documents):
     assert all(r["removed"] == ((r["doc_id"], r["paragraph"]) != (r["first_doc_id"], r["first_paragraph"])) for r in got)
 
 
-def test_jaccard(spark, documents):
+@pytest.mark.parametrize("folder", [TESTDATA, TESTDATA.replace("sf0.001", "sf0.01")])
+def test_jaccard(spark, folder, monkeypatch):
     sets = {}
-    for d, t, *_ in documents:
+    for d, t, *_ in read_documents(folder):
         w = words(t)
         sets[d] = {tuple(w[i:i + 4]) for i in range(len(w) - 3)} if len(w) > 3 else ({tuple(w)} if w else set())
     groups = linked_groups(sets, 85)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in run(spark, "op6_jaccard_join")}
+    by_trees = []
+    plain = jaccard_join.group_links
+
+    def counted(*args):
+        known, links = plain(*args)
+        by_trees.append(known.count() + links.count())
+        return known, links
+
+    monkeypatch.setattr(jaccard_join, "group_links", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in run(spark, "op6_jaccard_join", folder)}
     assert got == {d: (len(s), groups.root(d)) for d, s in sets.items()}
+    # Equal sets apart, every link comes from a tree.
+    shown = {frozenset(s): groups.root(d) for d, s in sets.items() if s}
+    assert sum(by_trees) >= len(shown) - len(set(shown.values()))
 
 
 def test_quality_statistics(spark, documents):

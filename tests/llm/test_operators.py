@@ -172,7 +172,7 @@ def test_edit_distance():
 def test_jaccard(edge, empty, monkeypatch, make_docs):
     assert rows(jaccard_join.join(empty)) == []
     got = {r["doc_id"]: r["component_id"] for r in rows(jaccard_join.join(edge))}
-    assert got[9] == 8 and got[1] == 1 and len(rows(jaccard_join.join(edge))) == sum(d is not None for d, *_ in EDGE)
+    assert got[9] == 8 and got[1] == 1 and len(rows(jaccard_join.join(edge))) == len(EDGE)
     # A family of near copies with texts that share much of them but don't link, through tiles of three.
     rng = random.Random(4)
     base = [f"w{i}" for i in range(120)]
@@ -201,6 +201,47 @@ def test_jaccard(edge, empty, monkeypatch, make_docs):
     assert {r["doc_id"]: r["component_id"] for r in rows(jaccard_join.join(docs))} == want
 
 
+def test_jaccard_without_ids(make_docs):
+    long = " ".join(f"w{i}" for i in range(60))
+    got = rows(jaccard_join.join(make_docs([(None, long), (7, long), (None, long + " more"), (None, "alone in this text of words"), (None, None)])))
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in got) == [
+        (0, 0, 0), (0, 2, 0), (0, 56, 7), (0, 57, 7), (7, 56, 7)]
+
+
+def test_trees_join_what_links():
+    rng = np.random.default_rng(8)
+    families = [rng.integers(0, 1 << 63, 150).astype(np.uint64) for _ in range(25)]
+    sets = [np.unique(rng.choice(f, int(n), replace=False)) for f in families for n in rng.integers(110, 150, 12)]
+    sets += [np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64)) for _ in range(40)]
+    names = np.arange(len(sets))
+
+    def plain(groups):
+        above = {int(g): int(g) for g in groups}
+        root = lambda x: x if above[x] == x else root(above[x])
+        for a in range(len(sets)):
+            for b in range(a):
+                if jaccard_join.linked(sets[a], sets[b], 80):
+                    x, y = root(int(groups[a])), root(int(groups[b]))
+                    above[max(x, y)] = min(x, y)
+        return [root(int(g)) for g in groups]
+
+    for comps in (names, names // 3 * 3):
+        walk = jaccard_join.Walk(80)
+        tree, order = jaccard_join.tree_of(sets, comps)
+        walk.within(tree, tree.top, 0)
+        assert [walk.root(int(c)) for c in comps] == plain(comps)
+        assert 0 < len(walk.links) < len(sets)
+        assert walk.pruned > 0 and walk.compared < len(sets) * (len(sets) - 1) // 4
+    # Two trees give the links between them.
+    half = len(sets) // 2
+    walk = jaccard_join.Walk(80)
+    one, two = jaccard_join.Tree(sets[:half], names[:half], 1024), jaccard_join.Tree(sets[half:], names[half:], 1024)
+    walk.across(one, one.top, 0, two, two.top, 0)
+    walk.within(one, one.top, 0)
+    walk.within(two, two.top, 0)
+    assert [walk.root(int(c)) for c in names] == plain(names)
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 160)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)]
