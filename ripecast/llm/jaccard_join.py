@@ -347,8 +347,10 @@ def home_links(groups: DataFrame, share: int) -> DataFrame:
 def group_links(meet: DataFrame, classes: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
     """Links between classes (node, tokens) that share a token of `meet` (token, node): those found in a class's own tree,
     as (node, component), and those that further trees add to them. Together they connect all classes that links connect."""
-    least = meet.groupBy("token").agg(F.min("node").alias("a"))
-    often = meet.join(least, "token").filter("a <> node").groupBy("node", "a").agg(F.count("*").alias("n"))
+    # Tokens of one class alone, as those that only equal sets have, end here.
+    ends = meet.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("token", "a")
+    met = materialize(meet.join(ends, "token"), "met-tokens")
+    often = met.filter("a <> node").groupBy("node", "a").agg(F.count("*").alias("n"))
     homes = often.groupBy("node").agg(F.max(F.struct("n", (-F.col("a")).alias("minus"))).alias("best")).select(
         (-F.col("best.minus")).alias("token"), "node")
     # A class goes into one tree: that of the smallest class it meets most often, which is in each of its tiles.
@@ -362,7 +364,7 @@ def group_links(meet: DataFrame, classes: DataFrame, share: int) -> tuple[DataFr
     own = stars.select(F.col("b").alias("node"), F.col("a").alias("center"))
     known = materialize(own.join(own.select(F.col("node").alias("center"), F.col("center").alias("next")), "center", "left").select(
         "node", F.coalesce("next", "center").alias("component")), "home-labels")
-    placed = meet.join(known, "node", "left").select("token", "node", F.coalesce("component", "node").alias("comp"))
+    placed = met.join(known, "node", "left").select("token", "node", F.coalesce("component", "node").alias("comp"))
     mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("least"),
                                         F.count("*").alias("g"), F.bit_xor(F.xxhash64("node")).alias("who")).filter("lo <> hi")
     # Of tokens with the very same classes one is enough.
