@@ -6,8 +6,8 @@ A packed exchange tells which paragraphs collide with any other; only those are
 class; classes that share a band are joined, their Jaccard share is counted exactly, and connected components give
 the groups. Of each group the first paragraph (smallest document, then place) stays.
 
-Bands hit by very many classes are handled as in `jaccard_join`: each class is compared with one that it meets most
-often, and trees over tiles settle what remains, so no group is listed pair by pair or held by one task.
+Bands hit by very many classes are handled as in `jaccard_join`: signature trees over tiles of classes find the links, so no
+group is listed pair by pair or held by one task.
 
 What stands inside longer lines, or over several short ones, is found in a second pass over the words that the first
 leaves, all but the removed lines. Every pair of words whose hash is the smallest within REACH words is a cut, so equal passages are cut
