@@ -175,6 +175,26 @@ def test_linear_equals_brute_force(spark):
         assert math.isclose(got[p]["intercept"], intercept, rel_tol=1e-5, abs_tol=1e-2 + 1.3 * abs(solution[0]))
 
 
+def test_linear_solves_blocks_of_products_as_it_solves_one(spark, monkeypatch):
+    """Days that cross Arrow batches and blocks of products: the same answers, to the last bit, and missing prices as before."""
+    series = {f"P{i:02d}": [(o, (7 * o + i) % 31) for o in range(i, 200, 3 + i % 5)] for i in range(40)}
+    data = [(p, START + dt.timedelta(o), q, None if p == "P07" or o % 11 == 0 else float(10 + o % 4)) for p, pts in series.items() for o, q in pts]
+    df = spark.createDataFrame(data, "product_id string, date date, quantity_sold bigint, unit_price double")
+    flag = (F.dayofmonth("date") % 3 > 0) & (F.col("product_id") != "P05")
+    fitted = lambda: by(linear.fit(df, product_frame(spark, list(series)), train_flag=flag), "product_id")
+    want = fitted()
+    assert len(want) == 40 and want["P05"]["n_days"] == 0 and want["P07"]["intercept"] is None and want["P06"]["intercept"] is not None
+    monkeypatch.setattr(linear, "BLOCK_ROWS", 3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert fitted() == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    sums = [np.array([[5.0, 6.0]]).T @ np.ones((1, k)) for k in (1, 1, linear.SIZE, linear.SIZE, linear.SIZE * (linear.SIZE + 1) // 2, 1)]
+    assert linear.solve(*(x[:, 0] if x.shape[1] == 1 else x for x in sums))[0].shape == (2, linear.SIZE)
+
+
 def test_metrics_against_brute_force(spark):
     pairs = [(3.0, 2.0), (0.0, 1.0), (5.0, 5.5), (8.0, 7.0)]
     got, = rows(evaluate.metrics(spark.createDataFrame(pairs, "actual double, predicted double")))
