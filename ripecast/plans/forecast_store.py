@@ -16,6 +16,8 @@ from ripecast.operators import forecast, pricing, products, replenish, trend
 from ripecast.sources import snapshots
 from ripecast.sources.files import materialize
 
+# Forecast days that one task of the reports sorts: their bytes don't bound them, since a product's days compress to a few bytes each.
+TASK_ROWS = 1 << 20
 ATTRIBUTES = ("product_name", "shelf_life_days", "base_price")
 
 
@@ -69,8 +71,15 @@ class ForecastStore:
     def _read(self, version: int | None) -> DataFrame:
         return snapshots.read(self.spark, self.root, version)["forecast"]
 
+    def _dealt(self, version: int | None) -> DataFrame:
+        """The forecast days, dealt by product into as many parts as their number asks for."""
+        days, n = self._read(version), snapshots.n_rows(self.spark, self.root, "forecast", version)
+        if n <= TASK_ROWS * self.spark.sparkContext.defaultParallelism:
+            return days
+        return days.repartition(max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_ROWS)), "product_id")
+
     def _with_stock(self, stock: DataFrame | None, version: int | None) -> DataFrame:
-        days = self._read(version)
+        days = self._dealt(version)
         if stock is None:
             return days.withColumn("current_stock", F.lit(policy.DEFAULT_STOCK).cast("bigint"))
         return products.with_stock(days, stock)

@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,8 +67,8 @@ def write(tables: dict[str, DataFrame], root: str, fmt: str = "parquet") -> int:
     return version
 
 
-def read(spark: SparkSession, root: str, version: int | None = None, verify: bool = False) -> dict[str, DataFrame]:
-    """The tables of a version, the newest finished one if none is named, by name and with the types they were written with."""
+def _manifest(spark: SparkSession, root: str, version: int | None) -> list[Row]:
+    """One row per table of a version, the newest finished one if none is named."""
     there = versions(spark, root)
     if not there:
         raise ValueError(f"no finished version below {root}")
@@ -76,13 +76,22 @@ def read(spark: SparkSession, root: str, version: int | None = None, verify: boo
         version = there[-1]
     if version not in there:
         raise ValueError(f"no finished version {version} below {root}")
+    return spark.read.schema(MANIFEST).json(f"{root}/manifests/{version}").collect()
+
+
+def n_rows(spark: SparkSession, root: str, name: str, version: int | None = None) -> int:
+    """Rows of a version's table as its manifest states them: nothing is counted again."""
+    return next(line.rows for line in _manifest(spark, root, version) if line.name == name)
+
+
+def read(spark: SparkSession, root: str, version: int | None = None, verify: bool = False) -> dict[str, DataFrame]:
+    """The tables of a version, the newest finished one if none is named, by name and with the types they were written with."""
     tables = {}
-    # One row per table.
-    for line in spark.read.schema(MANIFEST).json(f"{root}/manifests/{version}").collect():
+    for line in _manifest(spark, root, version):
         reader = spark.read.schema(T.StructType.fromJson(json.loads(line.schema)))
         if line.format == "csv":
             reader = reader.option("header", True).option("encoding", "UTF-8")
         tables[line.name] = reader.format(line.format).load(f"{root}/{line.folder}")
         if verify and (rows := tables[line.name].count()) != line.rows:
-            raise ValueError(f"{line.name} of version {version} has {rows} rows, {line.rows} were written")
+            raise ValueError(f"{line.name} of version {line.version} has {rows} rows, {line.rows} were written")
     return tables

@@ -82,3 +82,18 @@ def test_nothing_new_and_nothing_at_all(spark, days, profile, tmp_path):
     want = everything(store)
     store.update(days.limit(0), profile)
     assert everything(store) == want
+
+
+def test_many_stored_days_are_dealt_by_their_number(spark, days, profile, tmp_path, monkeypatch):
+    """Few bytes may hold many days: a task's share follows the rows, and reports stay the same."""
+    from ripecast.plans import forecast_store
+
+    stock = spark.createDataFrame([("P1", 500), ("P2", 60)], "product_id string, current_stock bigint")
+    store = ForecastStore(spark, str(tmp_path / "dealt"))
+    store.build(days, profile)
+    want = everything(store, stock)
+    assert snapshots.n_rows(spark, store.root, "forecast") == len(want[0]) == 240
+    monkeypatch.setattr(forecast_store, "TASK_ROWS", 30)
+    assert everything(store, stock) == want and everything(store, None)[0] == want[0]
+    plan = store.reorder_plan(stock)
+    assert "REPARTITION_BY_NUM" in plan._jdf.queryExecution().executedPlan().toString() and plan.rdd.getNumPartitions() >= 8
