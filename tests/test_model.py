@@ -3,8 +3,13 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from conftest import by, rows, sale
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import functions as F
 
 from ripecast.operators import demand, evaluate, pooled, products
 from ripecast.plans.model import DemandModel, trained_and_reloaded
@@ -195,3 +200,53 @@ def test_ordering_keys_are_checked(spark):
         df = spark.sql(f"SELECT DATE'2024-01-01' AS d, {bad} AS t").select(numeric.row_order(F.col("d"), F.col("t")))
         with pytest.raises(Exception, match="row order tie"):
             df.collect()
+
+
+def training_rows(spark, n=3000):
+    """Rows with codes in the millions, seasons that add up to one, and a constant column."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 40, (n, len(pooled.POOLED_FEATURES))).astype(float)
+    x[:, 0] = rng.integers(0, 7_000_000, n)
+    x[:, 1] = x[:, 0] // 1000
+    x[:, 10:14] = np.eye(4)[rng.integers(0, 4, n)]
+    x[:, 5] = 0.1
+    y = np.round(x[:, 0] / 1e6 + 0.5 * x[:, 3] + 3 * x[:, 10] + x[:, -1] + rng.normal(0, 5, n))
+    return x, y, spark.createDataFrame(np.c_[x, y].tolist(), ", ".join(f"{c} double" for c in (*pooled.POOLED_FEATURES, pooled.TARGET)))
+
+
+def test_pooled_line_is_the_least_squares_one_however_rows_are_spread(spark):
+    x, y, train = training_rows(spark)
+    design = (x - x.mean(0)) / np.where(x.std(0) > 1e-9, x.std(0), np.inf)
+    want = y.mean() + design @ np.linalg.lstsq(design, y - y.mean(), rcond=1e-8)[0]
+    line = pooled.fit(train, "linear_regression")
+    got = {tuple(r[c] for c in pooled.POOLED_FEATURES): r["prediction"] for r in pooled.predict(line, train).collect()}
+    assert max(abs(got[tuple(r)] - w) for r, w in zip(x.tolist(), want.tolist(), strict=True)) < 1e-7
+    for parts in (1, 7):
+        other = pooled.fit(train.repartition(parts), "linear_regression")
+        assert (other.coefficients, other.intercept) == (line.coefficients, line.intercept)
+
+
+def test_pooled_line_refuses_what_it_cannot_use(spark):
+    _, _, train = training_rows(spark, 50)
+    for broken in ("CAST(NULL AS double)", "double('NaN')", "double('Infinity')"):
+        with pytest.raises(Exception, match="unit_price"):
+            pooled.fit(train.withColumn("unit_price", F.expr(broken)), "linear_regression")
+    with pytest.raises(ValueError, match="no training rows"):
+        pooled.fit(train.limit(0), "linear_regression")
+    line = pooled.fit(train, "linear_regression")
+    with pytest.raises(Exception, match="null or NaN in unit_price"):
+        pooled.predict(line, train.withColumn("unit_price", F.expr("CAST(NULL AS double)"))).collect()
+
+
+def test_a_damaged_line_is_refused_and_an_older_pipeline_still_loads(seasonal, spark, tmp_path):
+    model = DemandModel("pooled_linear_regression").train(seasonal)
+    model.save(str(tmp_path / "new"))
+    spark.read.parquet(f"{tmp_path}/new/coefficients").limit(3).write.parquet(f"{tmp_path}/new/coefficients", mode="append")
+    with pytest.raises(ValueError, match="damaged model: coefficients"):
+        DemandModel.load(spark, str(tmp_path / "new"))
+    _, _, train = training_rows(spark, 200)
+    stages = [VectorAssembler(inputCols=list(pooled.POOLED_FEATURES), outputCol="features"), LinearRegression(labelCol=pooled.TARGET)]
+    model._pipeline = Pipeline(stages=stages).fit(train)
+    model.save(str(tmp_path / "old"))
+    want = sorted(map(str, model.forecast_demand(days_ahead=3).collect()))
+    assert sorted(map(str, DemandModel.load(spark, str(tmp_path / "old")).forecast_demand(days_ahead=3).collect())) == want
