@@ -9,7 +9,8 @@ Exact for every pair, in steps that leave out only what can't link:
    classes meet by those.
 4. Signature trees: leaves are sets, nodes hold the OR of their token bitmaps and the range of their sizes. A dual traversal of a tree with
    itself, or of two, drops node pairs whose largest possible overlap is too small for their sizes, or that
-   are in one component already; pairs of leaves that remain are counted exactly.
+   are in one component already; pairs of leaves that remain are counted exactly. Trees of few sets are one node, with a bit for every
+   token; the nodes of many such trees are compared at once.
    First every class goes into one tree: that of the smallest class it meets most often, dealt in tiles of TILE classes.
 5. Shingles whose classes are all linked by then have nothing left to tell. The classes of the others with the same smallest class go
    into one further tree, as long as they are no more than a TILE; beyond, every shingle's classes do, and a shingle with more than TILE
@@ -25,7 +26,7 @@ null id is a document of its own, greater than all others, and component_id is n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ from ripecast.sources.files import materialize
 SIZE, SHARE = 5, 80   # words per shingle, per cent of the union
 TILE = 1024
 FAN_OUT = 8
+LEAF, LEAF_TOKENS = 32, 4096   # groups of so few sets and tokens are one node
+GROUP_BYTES = 4 << 20          # of groups read at once
 SMALL_IDS = 2_000_000  # so many ids (16 MB) may be broadcast
 MAP_BITS = 1 << 28     # of all leaf bitmaps of a tree
 
@@ -48,6 +51,7 @@ COUNTED = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("n_shared", T.LongType()),
 ])
 SETS = "doc_id long, n int, digest binary, tokens binary"
+GROUP = ["kind", "token", "i", "j"]
 PREFIX = T.StructType([T.StructField("token", T.LongType()), T.StructField("node", T.LongType())])
 
 
@@ -292,10 +296,130 @@ def tree_of(sets: list[np.ndarray], comps: np.ndarray) -> tuple[Tree, np.ndarray
     return Tree([sets[k] for k in order], comps[order], bits), order
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by GROUP as tables of whole groups, with the groups' first rows and the end."""
+    def starts_of(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, bool)
+        new[:1] = True
+        for c in GROUP:
+            v = t[c].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(new)
+
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= GROUP_BYTES:
+            t = pa.Table.from_batches(held)
+            starts = starts_of(t)
+            if len(starts) > 1:
+                # The last group may go on in the next batch.
+                yield t.slice(0, starts[-1]), starts
+                t = t.slice(starts[-1])
+            held, size = t.to_batches(), t.nbytes
+    if size:
+        t = pa.Table.from_batches(held)
+        yield t, np.append(starts_of(t), t.num_rows)
+
+
+def tokens_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens of a column of sets, and each set's offsets into them."""
+    raw = pa.concat_arrays([c.cast(pa.large_binary()) for c in column.chunks])
+    cuts = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, raw.offset * 8) >> 3
+    return np.frombuffer(raw.buffers()[2], np.uint64, int(cuts[-1]))[cuts[0]:], cuts - cuts[0]
+
+
+def node_links(tokens: np.ndarray, sizes: np.ndarray, group: np.ndarray, label: np.ndarray, share: int) -> np.ndarray:
+    """Of sets that lie together by group the first set of their component, by all links within groups; `label` is that by the links known before."""
+    n = len(sizes)
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.lexsort((tokens, group[owner]))
+    own, sorted_tokens = group[owner[order]], tokens[order]
+    first = np.append(True, own[1:] != own[:-1])
+    rank = np.cumsum(np.append(True, first[1:] | (sorted_tokens[1:] != sorted_tokens[:-1]))) - 1
+    # A bit for every token of a group.
+    bit = np.empty(len(tokens), np.int64)
+    bit[order] = rank - np.repeat(rank[first], np.diff(np.append(np.flatnonzero(first), len(rank))))
+    lanes = (int(bit.max(initial=0)) >> 6) + 1
+    maps = np.zeros(n * lanes, np.uint64)
+    np.bitwise_or.at(maps, owner * lanes + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    maps = maps.reshape(n, lanes)
+
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    members = np.diff(np.append(starts, n))
+    x, y = [], []
+    for g in np.unique(members).tolist():
+        left, right = np.triu_indices(g, 1)
+        at = starts[members == g, None]
+        x.append((at + left).ravel())
+        y.append((at + right).ravel())
+    x, y = np.concatenate(x), np.concatenate(y)
+    able = (label[x] != label[y]) & (100 * np.minimum(sizes[x], sizes[y]) >= share * np.maximum(sizes[x], sizes[y]))
+    x, y = x[able], y[able]
+    step = max(1, (1 << 18) // lanes)
+    both = [np.bitwise_count(maps[x[k:k + step]] & maps[y[k:k + step]]).sum(axis=1, dtype=np.int64) for k in range(0, len(x), step)]
+    linked_ones = (100 + share) * np.concatenate([np.empty(0, np.int64), *both]) >= share * (sizes[x] + sizes[y])
+    known = np.flatnonzero(label != np.arange(n))
+    x, y = np.append(x[linked_ones], known), np.append(y[linked_ones], label[known])
+    while True:
+        least, after = np.minimum(label[x], label[y]), label.copy()
+        np.minimum.at(after, x, least)
+        np.minimum.at(after, y, least)
+        if (after == label).all():
+            return label
+        label = after
+
+
+Run = Callable[[pa.Table], tuple[list[int], list[int]]]
+
+
+def joined_groups(groups: DataFrame, share: int, known: bool, run: Run) -> DataFrame:
+    """(a, b): links within groups. Groups of one node are joined many at once, the others by `run`; `known`: sets of one `comp` are joined before."""
+
+    def joined(t: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, offsets = tokens_of(t["tokens"])
+        sizes = np.diff(offsets)
+        rows = np.diff(starts)
+        small = (rows <= LEAF) & (np.add.reduceat(sizes, starts[:-1]) <= LEAF_TOKENS) & (
+            t["i"].to_numpy()[starts[:-1]] == t["j"].to_numpy()[starts[:-1]])
+        a, b = [], []
+        for k in np.flatnonzero(~small).tolist():
+            left, right = run(t.slice(starts[k], rows[k]))
+            a.append(np.array(left, np.int64))
+            b.append(np.array(right, np.int64))
+        group, node = np.repeat(np.arange(len(rows)), rows), t["node"].to_numpy()
+        # A set may be its group's smallest class and be listed once more.
+        picked = np.repeat(small, rows) & np.append(True, (node[1:] != node[:-1]) | (group[1:] != group[:-1]))
+        if picked.any():
+            group = group[picked]
+            few = t.filter(pa.array(picked))
+            nodes, label = few["node"].to_numpy(), np.arange(len(group))
+            if known:
+                comps = few["comp"].to_numpy()
+                order = np.lexsort((label, comps, group))
+                head = np.append(True, (comps[order][1:] != comps[order][:-1]) | (group[order][1:] != group[order][:-1]))
+                label[order] = order[head][np.cumsum(head) - 1]
+            after = node_links(tokens_of(few["tokens"])[0], sizes[picked], group, label, share)
+            moved = (after != label) & (label == np.arange(len(label)))
+            a.append(nodes[after[moved]])
+            b.append(nodes[moved])
+        return np.concatenate(a), np.concatenate(b)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in whole_groups(batches):
+            a, b = joined(t, starts)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            del t
+            ex.release()
+
+    return groups.repartition(*GROUP).sortWithinPartitions(*GROUP, "node").mapInArrow(work, "a long, b long")
+
+
 def tree_join(groups: DataFrame, share: int) -> DataFrame:
     """Links within groups: rows (kind, token, i, j, tile, node, comp, tokens); tile i is joined with tile j, or with itself."""
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(t: pa.Table) -> tuple[list[int], list[int]]:
         tile = t["tile"].to_numpy()
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
         nodes, comps = t["node"].to_numpy(), t["comp"].to_numpy()
@@ -316,32 +440,26 @@ def tree_join(groups: DataFrame, share: int) -> DataFrame:
             made = [(left, made[0][1]), (right, made[1][1])]
             walk.across(left, left.top, 0, right, right.top, 0)
         names = {id(tree): n for tree, n in made}
-        a = [int(names[id(left)][x]) for left, x, _, _ in walk.links]
-        b = [int(names[id(right)][y]) for _, _, right, y in walk.links]
-        del made, raw, names
-        ex.release()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return [int(names[id(left)][x]) for left, x, _, _ in walk.links], [int(names[id(right)][y]) for _, _, right, y in walk.links]
 
-    return groups.groupBy("kind", "token", "i", "j").applyInArrow(run, "a long, b long")
+    return joined_groups(groups, share, True, run)
 
 
 def home_links(groups: DataFrame, share: int) -> DataFrame:
     """(a, b): every class that its tree links with others, and the smallest class of those; rows as for `tree_join`."""
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(t: pa.Table) -> tuple[list[int], list[int]]:
         # A set may be its group's smallest class and be listed once more.
         nodes, at = np.unique(t["node"].to_numpy(), return_index=True)
         raw = t["tokens"].to_pylist()
-        tree, order = tree_of([np.frombuffer(raw[k], np.uint64) for k in at.tolist()], nodes)
+        tree, _ = tree_of([np.frombuffer(raw[k], np.uint64) for k in at.tolist()], nodes)
         walk = Walk(share)
         walk.within(tree, tree.top, 0)
         label = np.array([walk.root(c) for c in nodes.tolist()], np.int64)
         moved = label != nodes
-        del tree, walk, raw
-        ex.release()
-        return pa.table({"a": pa.array(label[moved]), "b": pa.array(nodes[moved])})
+        return label[moved].tolist(), nodes[moved].tolist()
 
-    return groups.groupBy("kind", "token", "i", "j").applyInArrow(run, "a long, b long")
+    return joined_groups(groups, share, False, run)
 
 
 def group_links(meet: DataFrame, classes: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
