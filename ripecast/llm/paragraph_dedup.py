@@ -53,8 +53,9 @@ FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("par"
 ROWS = "doc_id long, doc_row long, par int, n_words int, digest binary, tokens binary, bands array<long>"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-#: Of a table's units: row in the table, number in the text, words, and shingles, which need not be sorted or distinct.
-Units = tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]
+#: Of a table's units: row in the table, number in the text, words; the shingles of all, which need not be sorted or distinct; and each unit's first
+#: and end among them.
+Units = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def tune(share: int, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -86,7 +87,7 @@ def paragraphs(t: pa.Table, size: int, min_words: int) -> Units:
     hashes = text.hash_strings(names)[codes]
     runs = text.shingle_hashes(hashes, size)
     keep = np.flatnonzero(n >= max(min_words, size))
-    return owner[keep], number[keep], n[keep], [runs[offsets[k]:offsets[k + 1] - size + 1] for k in keep]
+    return owner[keep], number[keep], n[keep], runs, offsets[keep], offsets[keep + 1] - size + 1
 
 
 def cuts_of(words: np.ndarray, part: np.ndarray, reach: int) -> np.ndarray:
@@ -133,23 +134,25 @@ def pieces(t: pa.Table, size: int, min_words: int, reach: int = REACH) -> Units:
     runs = text.shingle_hashes(words, size)
     rows = owner[line[there[starts]]]
     first = there[starts] - offsets[np.searchsorted(owner, rows)]
-    return rows, first, ends - starts, [runs[a:z - size + 1] for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return rows, first, ends - starts, runs, starts, ends - size + 1
 
 
-def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
-    """One 64-bit key per set and band."""
-    if not sets:
+def band_keys(tokens: np.ndarray, first: np.ndarray, end: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One 64-bit key per band of every set tokens[first:end]; what overlapping sets share is hashed once."""
+    if not len(first):
         return np.empty((0, bands), np.uint64)
-    if len(sets) > SLICE:
-        return np.concatenate([band_keys(sets[at:at + SLICE], bands, rows) for at in range(0, len(sets), SLICE)])
-    tokens = np.concatenate(sets)
-    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+    if len(first) > SLICE:
+        return np.concatenate([band_keys(tokens, first[at:at + SLICE], end[at:at + SLICE], bands, rows) for at in range(0, len(first), SLICE)])
+    low = first.min()
+    # One more, since every edge must be a place in the array.
+    tokens = np.append(tokens[low:end.max()], np.uint64(0))
+    edges = np.stack([first - low, end - low], axis=1).ravel()
     rolls, weights = text.odd(31, bands * rows), text.odd(37, rows)
-    keys = np.empty((len(sets), bands), np.uint64)
+    keys, rolled = np.empty((len(first), bands), np.uint64), np.empty_like(tokens)
     for b in range(bands):
-        key = np.full(len(sets), b + 1, np.uint64) * text.odd(41, 1)
+        key = np.full(len(first), b + 1, np.uint64) * text.odd(41, 1)
         for r in range(rows):
-            key += np.minimum.reduceat(tokens * rolls[b * rows + r], starts) * weights[r]
+            key += np.minimum.reduceat(np.multiply(tokens, rolls[b * rows + r], out=rolled), edges)[::2] * weights[r]
         keys[:, b] = text.mix(key)
     return keys
 
@@ -169,8 +172,8 @@ def colliding(docs: DataFrame, units: Callable[[pa.Table], Units], bands: int, r
     buckets = ex.bucket_count(docs)
 
     def ask(t: pa.Table) -> Iterator[tuple[int, bytes]]:
-        owner, number, n, sets = units(t)
-        keys = band_keys(sets, bands, rows)
+        owner, number, n, *sets = units(t)
+        keys = band_keys(*sets, bands, rows)
         behind = next_ones(owner, number, n) if overlap else np.zeros(len(owner), np.int64)
         asked = np.ones(keys.shape, bool)
         for k in range(1, int(behind.max(initial=0)) + 1):
@@ -213,16 +216,18 @@ def described(docs: DataFrame, units: Callable[[pa.Table], Units], bands: int, r
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = TaskContext.get().partitionId() << 33
         for t in text.merged(batches, BLOCK_BYTES):
-            owner, number, n, sets = units(t)
+            owner, number, n, runs, first, end = units(t)
             wanted = [set(w) for w in t["wanted"].to_pylist()]
-            keep = [k for k in range(len(sets)) if int(number[k]) in wanted[owner[k]]]
-            sets = [np.unique(sets[k]) for k in keep]
+            keep = [k for k in range(len(owner)) if int(number[k]) in wanted[owner[k]]]
+            sets = [np.unique(runs[first[k]:end[k]]) for k in keep]
             raw = [s.tobytes() for s in sets]
+            cuts = np.cumsum([0, *map(len, sets)])
+            keys = band_keys(np.concatenate([np.empty(0, np.uint64), *sets]), cuts[:-1], cuts[1:], bands, rows)
             yield pa.RecordBatch.from_arrays([
                 t["doc_id"].combine_chunks().take(pa.array(owner[keep], pa.int64())), pa.array(owner[keep] + before, pa.int64()),
                 pa.array(number[keep], pa.int32()), pa.array(n[keep], pa.int32()),
                 pa.array([hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary()), pa.array(raw, pa.binary()),
-                pa.array(list(band_keys(sets, bands, rows).view(np.int64)), pa.list_(pa.int64())),
+                pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
             ], ["doc_id", "doc_row", "par", "n_words", "digest", "tokens", "bands"])
             before += t.num_rows
             ex.release()
