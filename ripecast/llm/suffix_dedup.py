@@ -97,6 +97,11 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tup
     return hashes[at[first]], at[first], starts[first], starts[last], owner[first]
 
 
+def dealt(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of every anchor. Anchors have the smallest hashes, so their upper bits are mostly zero and say nothing until they are mixed again."""
+    return bucket_of(text.mix(keys), buckets)
+
+
 def marked(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """MARKS: a bit per anchor of the document, set if another anchor has the same string (or, rarely, only the same fingerprint)."""
     buckets = ex.bucket_count(docs)
@@ -104,9 +109,10 @@ def marked(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def ask(t: pa.Table) -> Iterator[tuple[int, bytes]]:
         raw, offsets = joined_bytes(t)
         keys, _, _, _, owner = anchors(raw, offsets, length, gram)
-        order, edges = ex.by_bucket(bucket_of(keys, buckets), buckets)
+        own = dealt(keys, buckets)
+        order, edges = ex.by_bucket(own, buckets)
         yield ex.OWN, ex.pack(t["doc_id"].to_numpy().astype(np.int64), t["digest"].to_numpy().astype(np.int64),
-                              np.bincount(owner, minlength=t.num_rows).astype(np.uint32), bucket_of(keys, buckets).astype(np.uint16 if buckets < 65536 else np.uint32))
+                              np.bincount(owner, minlength=t.num_rows).astype(np.uint32), own.astype(np.uint16 if buckets < 65536 else np.uint32))
         prints = keys[order].astype(np.uint32)
         for b in range(buckets):
             if edges[b + 1] > edges[b]:
@@ -272,7 +278,7 @@ def repeated_windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
         keys, place, first, last, owner = (x[flags] for x in (keys, place, first, last, owner))
         ids = t["doc_id"].to_numpy().astype(np.int64)
         buf = raw.tobytes()
-        order, edges = ex.by_bucket(bucket_of(keys, buckets), buckets)
+        order, edges = ex.by_bucket(dealt(keys, buckets), buckets)
         notes, sent = [], []
         for b in range(buckets):
             own = order[edges[b]:edges[b + 1]]
