@@ -4,15 +4,18 @@ Not every suffix is sorted. Each window of LENGTH bytes has an anchor, its GRAM-
 of equals); equal windows have equal anchors at equal places. One anchor serves a run of windows, so there are
 about 30 times fewer anchors than bytes, and windows can only be equal where their anchors' strings are.
 
-1. A packed exchange tells every document which of its anchors occur elsewhere. The others are done with.
+1. A packed exchange tells every document which of its anchors occur elsewhere, and which are hot: in more than HOT different
+   surroundings, counted by 16 bits of a hash. Those that occur nowhere else are done with.
 2. Anchored suffixes: from the anchor to the end of its last window, then the bytes before the anchor backwards to
    the start of its first window. Every block sorts its suffixes per bucket (the anchor's hash) and sends them front-coded: length of
-   the prefix shared with the one before, and the rest. Copies cost a few bytes each.
+   the prefix shared with the one before, and the rest. Of a block's equal suffixes the first occurrence stands for all.
 3. A bucket's runs are merged by a loser tree that keeps, per run, the prefix shared with the last winner: two suffixes are compared
    by those lengths, and only if they are equal byte by byte, from there on. The merge also says which neighbours are equal.
 4. Of equal suffixes all but the first occurrence lose all their windows. Different suffixes of one anchor string share some
    windows at most; those are told by hashes of the windows, one per window of a distinct suffix.
-5. Blocks get back which windows of each suffix start earlier too, and turn them into byte spans.
+5. A hot anchor's suffixes would meet in one task, so its windows are dealt one by one instead, by a hash of 96 bits: of a block's equal windows
+   the first, so that a window costs one entry per block at most.
+6. Blocks get back which windows of each suffix start earlier too, and turn them into byte spans.
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing; the order of occurrences is (doc_id, start), a
 null id comes last; rows that share an id count as one document in that order, so equal starts are not earlier than each other (exact
@@ -40,10 +43,13 @@ GRAM = 32                    # a power of two below LENGTH
 BLOCK_BYTES = 2 << 20
 BROADCAST_BYTES = 64 << 20   # marks and spans beyond this are joined by a shuffle
 SLICE = 1024                 # suffixes hashed at once
+HOT = 1 << 14                # different suffixes of one anchor string that are merged in one task
 LAST = (1 << 63) - 1         # stands for a null id
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BYTES = text.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BASE2 = np.uint64(0x8CB92BA72F3D8DD7)
+_BYTES2 = text.mix(np.arange(257, 513, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 MARKS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("mark", T.BinaryType())])
 
@@ -102,45 +108,85 @@ def dealt(keys: np.ndarray, buckets: int) -> np.ndarray:
     return bucket_of(text.mix(keys), buckets)
 
 
+def run_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint64 = _BASE, of_byte: np.ndarray = _BYTES) -> np.ndarray:
+    """Hash of the bytes from `start` to before `end`, for many such runs."""
+    def powers(x: np.uint64) -> np.ndarray:
+        out = np.ones(len(raw) + 1, np.uint64)
+        out[1:] = x
+        return np.multiply.accumulate(out, out=out)
+
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(of_byte[raw] * powers(base)[:-1], out=sums[1:])
+    return text.mix((sums[end] - sums[start]) * powers(np.uint64(pow(int(base), -1, 1 << 64)))[start])
+
+
+def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of every run, one after the other."""
+    count = count.astype(np.int64)
+    return np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
+
+
 def marked(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """MARKS: a bit per anchor of the document, set if another anchor has the same string (or, rarely, only the same fingerprint)."""
-    buckets = ex.bucket_count(docs)
+    """MARKS: a bit per anchor of the document, set if another anchor has the same string (or, rarely, only the same fingerprint).
+
+    If any is hot, as many bits more tell which.
+    """
+    buckets, most = ex.bucket_count(docs), HOT
 
     def ask(t: pa.Table) -> Iterator[tuple[int, bytes]]:
         raw, offsets = joined_bytes(t)
-        keys, _, _, _, owner = anchors(raw, offsets, length, gram)
+        keys, place, first, last, owner = anchors(raw, offsets, length, gram)
         own = dealt(keys, buckets)
         order, edges = ex.by_bucket(own, buckets)
         yield ex.OWN, ex.pack(t["doc_id"].to_numpy().astype(np.int64), t["digest"].to_numpy().astype(np.int64),
                               np.bincount(owner, minlength=t.num_rows).astype(np.uint32), own.astype(np.uint16 if buckets < 65536 else np.uint32))
         prints = keys[order].astype(np.uint32)
+        surroundings = text.mix(run_hashes(raw, first, last + length) + (place - first).astype(np.uint64))[order].astype(np.uint16)
         for b in range(buckets):
             if edges[b + 1] > edges[b]:
-                yield b, ex.pack(prints[edges[b]:edges[b + 1]])
+                yield b, ex.pack(prints[edges[b]:edges[b + 1]], surroundings[edges[b]:edges[b + 1]])
 
     def answer(payloads: list[bytes]) -> Iterator[bytes]:
-        parts = [ex.unpack(p)[0] for p in payloads]
-        _, place, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        often = n[place] > 1
+        parts = [ex.unpack(p) for p in payloads]
+        prints = np.concatenate([p for p, _ in parts])
+        _, place, n = np.unique(prints, return_inverse=True, return_counts=True)
+        often, hot = n[place] > 1, np.zeros(len(place), bool)
+        if n.max() > most:
+            kinds = np.unique(prints.astype(np.uint64) << np.uint64(16) | np.concatenate([x for _, x in parts]))
+            hot = np.unique(kinds >> np.uint64(16), return_counts=True)[1][place] > most
         at = 0
-        for p in parts:
-            yield ex.pack(np.packbits(often[at:at + len(p)]))
+        for p, _ in parts:
+            yield ex.pack(np.packbits(often[at:at + len(p)]), np.packbits(hot[at:at + len(p)]))
             at += len(p)
 
     def settle(notes: bytes, answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         ids, digests, per, own = ex.unpack(notes)
         order, edges = ex.by_bucket(own, buckets)
-        flags = np.zeros(len(own), np.uint8)
+        flags, hot = np.zeros(len(own), np.uint8), np.zeros(len(own), np.uint8)
         for b, payload in answers.items():
-            flags[order[edges[b]:edges[b + 1]]] = np.unpackbits(ex.unpack(payload)[0])[:edges[b + 1] - edges[b]]
+            for bits, given in zip((flags, hot), ex.unpack(payload), strict=True):
+                bits[order[edges[b]:edges[b + 1]]] = np.unpackbits(given)[:edges[b + 1] - edges[b]]
         cuts = np.concatenate([[0], np.cumsum(per, dtype=np.int64)])
         keep = [k for k in range(len(ids)) if flags[cuts[k]:cuts[k + 1]].any()]
-        yield text.batch(MARKS, doc_id=ids[keep], digest=digests[keep],
-                         mark=[np.packbits(flags[cuts[k]:cuts[k + 1]]).tobytes() for k in keep])
+        marks = []
+        for k in keep:
+            more = hot[cuts[k]:cuts[k + 1]]
+            marks.append(np.packbits(flags[cuts[k]:cuts[k + 1]]).tobytes() + (np.packbits(more).tobytes() if more.any() else b""))
+        yield text.batch(MARKS, doc_id=ids[keep], digest=digests[keep], mark=marks)
 
     return ex.exchange(docs, ask, answer, settle, MARKS, BLOCK_BYTES)
 
 
+def mark_bits(marks: list[bytes], per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each anchor of the documents occurs elsewhere, and whether it is hot."""
+    flags, hot = [np.empty(0, np.uint8)], [np.empty(0, np.uint8)]
+    for mark, n in zip(marks, per.tolist(), strict=True):
+        bits, size = np.frombuffer(mark, np.uint8), (n + 7) // 8
+        flags.append(np.unpackbits(bits[:size])[:n])
+        hot.append(np.unpackbits(bits[size:])[:n] if len(bits) > size else np.zeros(n, np.uint8))
+    return np.concatenate(flags) > 0, np.concatenate(hot) > 0
+
+
 # -- sorted runs -----------------------------------------------------------------------------------
 
 def shared_prefix(a: bytes, b: bytes, known: int) -> int:
@@ -272,14 +318,20 @@ def repeated_windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def ask(t: pa.Table) -> Iterator[tuple[int, bytes]]:
         raw, offsets = joined_bytes(t)
         keys, place, first, last, owner = anchors(raw, offsets, length, gram)
-        per = np.bincount(owner, minlength=t.num_rows)
-        marks = t["mark"].to_pylist()
-        flags = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8))[:n] for m, n in zip(marks, per.tolist(), strict=True)]) > 0 if marks else np.empty(0, bool)
-        keys, place, first, last, owner = (x[flags] for x in (keys, place, first, last, owner))
+        shared, hot = mark_bits(t["mark"].to_pylist(), np.bincount(owner, minlength=t.num_rows))
         ids = t["doc_id"].to_numpy().astype(np.int64)
-        buf = raw.tobytes()
+        own, entry, at_head, windows, sent = suffixes(raw, offsets, ids, *(x[shared & ~hot] for x in (keys, place, first, last, owner)))
+        notes = [ids, t["digest"].to_numpy().astype(np.int64), *own, entry, at_head, windows]
+        own, entry, at_head, more = hot_windows(raw, offsets, ids, *(x[hot] for x in (first, last, owner)))
+        yield ex.OWN, ex.pack(*notes, *own, entry, at_head)
+        yield from sent
+        yield from more
+
+    def suffixes(raw, offsets, ids, keys, place, first, last, owner) -> tuple:
+        """Runs of windows (document, start, count), the entry that stands for each, if it is at that one's place, windows per entry, and what is sent."""
+        buf, starts, count = raw.tobytes(), first - offsets[owner], (last - first + 1).astype(np.uint16)
         order, edges = ex.by_bucket(dealt(keys, buckets), buckets)
-        notes, sent = [], []
+        members, entries, heads, sent, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [], 0
         for b in range(buckets):
             own = order[edges[b]:edges[b + 1]]
             if not len(own):
@@ -291,15 +343,60 @@ def repeated_windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 made.append((buf[p:z + length] + buf[a:p][::-1] + (p - a).to_bytes(2, "big"), k))
             made.sort(key=lambda x: x[0])
             own = np.array([k for _, k in made], np.int64)
-            notes.append(own)
-            sent.append((b, ex.pack(*front_coded([x for x, _ in made]), ids[owner[own]], first[own] - offsets[owner[own]], (last[own] - first[own] + 1).astype(np.uint16))))
-        own = np.concatenate(notes) if notes else np.empty(0, np.int64)
-        yield ex.OWN, ex.pack(ids, t["digest"].to_numpy().astype(np.int64), owner[own].astype(np.uint32),
-                              first[own] - offsets[owner[own]], (last[own] - first[own] + 1).astype(np.uint16))
-        yield from sent
+            new = np.array([k == 0 or made[k][0] != made[k - 1][0] for k in range(len(made))])
+            entry = np.cumsum(new) - 1
+            head = own[np.lexsort((starts[own], ids[owner[own]], entry))[new]]
+            members.append(own)
+            entries.append(entry + n)
+            heads.append(head)
+            n += len(head)
+            sent.append((b, ex.pack(*front_coded([x for (x, _), f in zip(made, new.tolist(), strict=True) if f]), ids[owner[head]], starts[head], count[head])))
+        own, entry, head = np.concatenate(members), np.concatenate(entries), np.concatenate(heads)
+        at_head = (ids[owner[own]] == ids[owner[head[entry]]]) & (starts[own] == starts[head[entry]])
+        return (owner[own].astype(np.uint32), starts[own], count[own]), entry.astype(np.uint32), np.packbits(at_head), count[head], sent
+
+    def hot_windows(raw, offsets, ids, first, last, owner) -> tuple:
+        """The same for the windows of hot anchors: an entry is one window, its buckets come after those of the suffixes."""
+        count = (last - first + 1).astype(np.uint16)
+        runs = owner.astype(np.uint32), first - offsets[owner], count
+        if not len(first):
+            return runs, np.empty(0, np.uint32), np.empty(0, np.uint8), []
+        place, where = ranges(first, count), np.repeat(owner, count)
+        one = run_hashes(raw, place, place + length)
+        two = (run_hashes(raw, place, place + length, _BASE2, _BYTES2) >> np.uint64(32)).astype(np.uint32)
+        starts, own_ids = place - offsets[where], ids[where]
+        order = np.lexsort((starts, own_ids, two, one))
+        new = np.ones(len(order), bool)
+        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+        head = order[new]
+        entry = np.empty(len(order), np.uint32)
+        entry[order] = np.cumsum(new) - 1
+        at_head = (own_ids == own_ids[head[entry]]) & (starts == starts[head[entry]])
+        # Sorted by the hash, so by the bucket too.
+        edges = np.searchsorted(bucket_of(one[head], buckets), np.arange(buckets + 1))
+        sent = [(buckets + b, ex.pack(*(x[head[a:z]] for x in (one, two, own_ids, starts))))
+                for b, (a, z) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if z > a]
+        return runs, entry, np.packbits(at_head), sent
+
+    def firsts(parts: list[list[np.ndarray]]) -> Iterator[bytes]:
+        """Hot windows: True, if the same window starts earlier."""
+        one, two, ids, starts = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        order = np.lexsort((starts, ids, two, one))
+        new = np.ones(len(order), bool)
+        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+        lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        gone = np.empty(len(order), bool)
+        gone[order] = (ids[order] != ids[lead]) | (starts[order] != starts[lead])
+        at = 0
+        for p in parts:
+            yield ex.pack(np.packbits(gone[at:at + len(p[0])]), np.array([len(p[0])]))
+            at += len(p[0])
 
     def answer(payloads: list[bytes]) -> Iterator[bytes]:
         parts = [ex.unpack(p) for p in payloads]
+        if len(parts[0]) == 4:
+            yield from firsts(parts)
+            return
         sizes = np.array([len(p[0]) for p in parts])
         offset = np.concatenate([[0], np.cumsum(sizes)])
         ids, starts, count = (np.concatenate([p[k] for p in parts]) for k in (3, 4, 5))
@@ -360,14 +457,25 @@ def repeated_windows(docs: DataFrame, length: int, gram: int) -> DataFrame:
             yield ex.pack(np.packbits(own), np.array([len(own)]))
 
     def settle(notes: bytes, answers: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        ids, digests, owner, first, count = ex.unpack(notes)
+        ids, digests, owner, first, count, entry, at_head, windows, *hot = ex.unpack(notes)
         spans: dict[int, list[np.ndarray]] = {}
+
+        def fates(buckets_of: list[int]) -> np.ndarray:
+            given = [ex.unpack(answers[b]) for b in buckets_of]
+            return np.concatenate([np.empty(0, np.uint8), *(np.unpackbits(bits)[:n[0]] for bits, n in given)]) > 0
+
+        def later(at_head: np.ndarray, n: int) -> np.ndarray:
+            """Occurrences that are not at the place of the one that stands for them."""
+            return np.unpackbits(at_head)[:n] == 0
+
         if answers:
-            ends = np.cumsum(count, dtype=np.int64)
-            given = [ex.unpack(answers[b]) for b in sorted(answers)]
-            gone = np.concatenate([np.unpackbits(bits)[:n[0]] for bits, n in given]) > 0
-            where = np.repeat(owner.astype(np.int64), count)
-            start = np.repeat(first, count) + np.arange(len(gone)) - np.repeat(ends - count, count)
+            of_suffix, of_window = fates(sorted(b for b in answers if b < buckets)), fates(sorted(b for b in answers if b >= buckets))
+            at = (np.cumsum(windows, dtype=np.int64) - windows)[entry]
+            gone = of_suffix[ranges(at, count)] | np.repeat(later(at_head, len(entry)), count)
+            where, start = np.repeat(owner.astype(np.int64), count), ranges(first, count)
+            owner, first, count, entry, at_head = hot
+            gone = np.concatenate([gone, of_window[entry] | later(at_head, len(entry))])
+            where, start = np.concatenate([where, np.repeat(owner.astype(np.int64), count)]), np.concatenate([start, ranges(first, count)])
             where, start = where[gone], start[gone]
             order = np.lexsort((start, where))
             where, start = where[order], start[order]
